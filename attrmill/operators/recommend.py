@@ -69,3 +69,36 @@ def batch_recommend(sample_attr: DataFrame, edges: DataFrame, n: int = 5) -> Dat
     )
     w = Window.partitionBy("sample_id").orderBy(F.round("total_weight", 9).desc(), F.col("attribute"))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def did_you_mean(queries: DataFrame, vocabulary: DataFrame, n: int = 3, cutoff=(3, 5)) -> DataFrame:
+    """Per query name: known=true if in the vocabulary; else up to n closest names
+    with ratio 2*LCS/(|a|+|b|) >= cutoff (default 0.6), best first, ties to the larger name.
+
+    Candidates come from the exact deletion-variant equi-join (no cross join);
+    the top n per query come from a window over that query's candidates.
+    Output: (query, known, suggestions ARRAY<STRING>; null when nothing is close).
+    """
+    from attrmill.functions import text as X
+    from attrmill.plans.similarity_join import ratio_cutoff_pairs
+
+    q = queries.select(F.col(queries.columns[0]).alias("query")).distinct()
+    voc = vocabulary.select(F.col(vocabulary.columns[0]).alias("word")).distinct()
+    hits = q.join(voc.withColumnRenamed("word", "query"), "query", "left_semi")
+    misses = q.join(hits, "query", "left_anti")
+    cand = ratio_cutoff_pairs(misses, voc, *cutoff)
+    score = F.lit(2.0) * X.lcs_udf("query", "word") / (F.length("query") + F.length("word"))
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("word").desc())
+    top = (
+        cand.withColumn("score", score)
+        .withColumn("rank", F.row_number().over(w))
+        .where(F.col("rank") <= n)
+        .groupBy("query")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("suggestions"))
+    )
+    known = hits.select("query", F.lit(True).alias("known"))
+    return (
+        q.join(known, "query", "left")
+        .join(top, "query", "left")
+        .select("query", F.coalesce("known", F.lit(False)).alias("known"), "suggestions")
+    )
