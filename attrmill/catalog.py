@@ -51,7 +51,7 @@ def _load_all() -> None:
         importlib.import_module(mod)
 
 
-_MODULES: list[str] = ["attrmill.catalog_lexical"]
+_MODULES: list[str] = ["attrmill.catalog_lexical", "attrmill.catalog_features"]
 
 
 def r6(c: str):
