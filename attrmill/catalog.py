@@ -51,7 +51,7 @@ def _load_all() -> None:
         importlib.import_module(mod)
 
 
-_MODULES: list[str] = ["attrmill.catalog_lexical", "attrmill.catalog_features", "attrmill.catalog_values"]
+_MODULES: list[str] = ["attrmill.catalog_lexical", "attrmill.catalog_features", "attrmill.catalog_values", "attrmill.catalog_queue"]
 
 
 def r6(c: str):
