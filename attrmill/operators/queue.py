@@ -43,12 +43,13 @@ def _top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-SMART = [F.col("pseudo_confidence").desc(), F.col("name")]
+def smart_order() -> list[Column]:
+    return [F.col("pseudo_confidence").desc(), F.col("name")]
 
 
 def queue_smart(pairs: DataFrame, decisions: DataFrame, prefix: str | None = None, n: int = 200, key: str = "pair_no") -> DataFrame:
     """Q3: undecided pairs by pseudo confidence (desc), then name; first n."""
-    return _top(omit_prefix(undecided(pairs, decisions, key), prefix), SMART, n)
+    return _top(omit_prefix(undecided(pairs, decisions, key), prefix), smart_order(), n)
 
 
 def queue_max(pairs: DataFrame, decisions: DataFrame, prefix: str | None = None, n: int = 200, key: str = "pair_no") -> DataFrame:
@@ -79,7 +80,7 @@ def touching(pairs: DataFrame, attrs: DataFrame) -> DataFrame:
 
 def queue_my_attributes(pairs, decisions, attrs, n: int = 200, key: str = "pair_no") -> DataFrame:
     """Q6: undecided pairs touching the curator's attributes, smart order, first n."""
-    return _top(touching(undecided(pairs, decisions, key), _attr_df(pairs, attrs)), SMART, n)
+    return _top(touching(undecided(pairs, decisions, key), _attr_df(pairs, attrs)), smart_order(), n)
 
 
 def pairs_left(pairs, decisions, attrs, key: str = "pair_no") -> DataFrame:
@@ -103,7 +104,7 @@ def queue_related(pairs, decisions, edges, attrs, n: int = 200, chunk: int = 5,
     hits = hits.select(*und.columns, "chunk").distinct()
     first = hits.agg(F.min("chunk").alias("chunk"))
     chosen = hits.join(first, "chunk", "left_semi").drop("chunk").distinct()
-    return _top(chosen, SMART, n)
+    return _top(chosen, smart_order(), n)
 
 
 def previous_attributes(pairs, decisions, good: bool = False, key: str = "pair_no") -> DataFrame:
