@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attrmill.functions.distances import damerau_levenshtein, hamming, jaro_winkler
+from attrmill.functions.distances import char_positions, damerau_levenshtein, hamming, jaro_winkler_indexed
 
 # A number as Python's float() reads it (sign, digits with optional underscores between
 # digits, fraction, exponent, inf/nan words), surrounding whitespace allowed.
@@ -162,14 +162,15 @@ def best_value_matches_stats(pairs: DataFrame, capped: DataFrame) -> DataFrame:
         l2 = sorted(pdf.loc[pdf.side == 2, "value"].tolist())
         short, long_ = (l2, l1) if len(l1) > len(l2) else (l1, l2)
         long_set = set(long_)
+        long_pos = [(w, char_positions(w)) for w in long_]
         best = []
         for v in short:
             if v in long_set:
                 w, jw = v, 1.0
             else:
                 w, jw = None, -1.0
-                for cand in long_:
-                    s = jaro_winkler(v, cand)
+                for cand, pos in long_pos:
+                    s = jaro_winkler_indexed(v, cand, pos)
                     if s > jw:
                         w, jw = cand, s
             best.append((jw, damerau_levenshtein(v, w), hamming(v, w)))
