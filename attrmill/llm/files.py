@@ -21,7 +21,7 @@ def write_file(folder: str, stem: str, ending: str, parts: Iterable[bytes]) -> s
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
     name = f"{stem}-{uuid.uuid4().hex[:12]}.{ending}"
-    with store.open_output_stream(f"{base}/.{name}") as out:
+    with store.open_output_stream(f"{base}/.{name}", compression=None) as out:
         for p in parts:
             out.write(p)
     store.move(f"{base}/.{name}", f"{base}/{name}")

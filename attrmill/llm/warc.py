@@ -84,7 +84,7 @@ def read_seek_table(f) -> list[tuple[int, int, int]]:
 
 def read_frame(f, place: tuple[int, int, int]) -> bytes:
     f.seek(place[0])
-    return zstandard.ZstdDecompressor().decompress(f.read(place[1]), max_output_size=place[2])
+    return zstandard.ZstdDecompressor().decompressobj().decompress(f.read(place[1]))
 
 
 def read_record(bundle: str, frame: int, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -96,7 +96,7 @@ def read_record(bundle: str, frame: int, offset: int, length: int) -> tuple[dict
 
 
 def _write(batches, folder):
-    compress = zstandard.ZstdCompressor(level=3).compress
+    compress = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
     frames: list[tuple[int, int]] = []
     packed: list[bytes] = []
     frame, places = bytearray(), []
