@@ -51,10 +51,10 @@ class Workspace:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.dir, self.n = spark, shared_dir(spark), 0
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.dir}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
 

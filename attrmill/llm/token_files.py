@@ -25,15 +25,17 @@ from __future__ import annotations
 
 import functools
 import io
-import os
+import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attrmill.llm.bpe import byte_alphabet
 from attrmill.llm.common import Memo, Workspace, arrow_stage
 from attrmill.llm.files import open_read, write_file
 
@@ -72,6 +74,12 @@ def unpack(block: bytes, n: int) -> np.ndarray:
     return word & _MASK[size]
 
 
+#: The splitter of byte-level BPE. A fixed value.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Characters whose class may differ between Unicode versions or libraries: such stretches go to the library as they are.
+ODD = re.compile("[^\t-\r -~\xa1-\u024f]")
+
+
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, memoised by stretches.
 
@@ -87,10 +95,20 @@ class ChunkEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.memo = Memo(self._one, 600_000)
+        self.memo = Memo(self._stretch, 1_000_000)
+        self.pieces = Memo(self._piece, 400_000)
+        self.symbols = byte_alphabet()
+        self.by_byte = {b: s for b, s in enumerate(self.symbols)}
+
+    def _stretch(self, stretch: str) -> bytes:
+        if ODD.search(stretch):
+            return np.array(self.lib.encode(stretch, add_special_tokens=False).ids, "<u2" if self.narrow else "<u4").tobytes()
+        return b"".join(map(self.pieces.__getitem__, SPLIT.findall(stretch)))
 
-    def _one(self, stretch: str) -> bytes:
-        return np.array(self.lib.encode(stretch, add_special_tokens=False).ids, "<u4").astype("<u2" if self.narrow else "<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        """One word of the splitter through the library's BPE model, without the cost of its pipeline."""
+        found = self.lib.model.tokenize(piece.encode().decode("latin-1").translate(self.by_byte))
+        return np.array([t.id for t in found], "<u2" if self.narrow else "<u4").tobytes()
 
     @functools.cached_property
     def narrow(self) -> bool:
@@ -206,7 +224,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if rows.filter("doc_id is null").limit(1).count():
         raise ValueError("a document without doc_id cannot be stored")
-    ids = work.save(arrow_stage(rows, functools.partial(_encode, spec=sent, end_id=end_id), "doc_id long, ids binary"), "ids")
+    ids = work.save(arrow_stage(rows, functools.partial(_encode, spec=sent, end_id=end_id), "doc_id long, ids binary"), "ids", compression="zstd")
     counts = arrow_stage(ids.select("ids"), functools.partial(_frequencies, kind=kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = [r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))]  # at most the vocabulary
     ranks_path = write_file(folder, "ranks", "u32", [np.array(order, "<u4").tobytes()])

@@ -8,7 +8,7 @@ run); Viterbi decoding under a character trigram model picks the likeliest word.
 The trigram model counts the letters of all documents. Plain words are a lattice
 of one path and stay as they are.
 
-Scoring: an ordered list of rules over the restored text, learned by sequential
+Scoring: an ordered list of rules over the restored text, learned by weighted
 covering. A rule is a whole word or the beginning of a word (3 to 8 letters); its
 weight is the lower end of the Wilson interval of the share of toxic training
 documents among those that have it. The score of a text is the largest weight
@@ -237,23 +237,27 @@ def fit(labelled: DataFrame, model: np.ndarray, sample: int = SAMPLE) -> dict[st
 
 
 def cover(left: list[set[str]], stats: dict[str, tuple[float, int, int]], rules: int = RULES) -> dict[str, float]:
-    """Sequential covering: take the rule that explains most of the toxic documents not
-    explained yet, less what it would accuse wrongly; stop when a rule explains under three."""
+    """Weighted covering: take the rule that explains most of the toxic documents, less
+    what it would accuse wrongly; a document that k rules explain weighs 1/(1+k), so
+    several rules of one document can be found. Of equally good rules the longer one is
+    taken. Stop when a rule explains less than three documents' weight."""
     out: dict[str, float] = {}
-    gain = Counter(f for s in left for f in s)
+    weight = [1.0] * len(left)
+    gain: Counter = Counter()
+    for s in left:
+        gain.update(s)
     while gain and len(out) < rules:
-        best = max(gain, key=lambda f: (gain[f] - 3 * stats[f][2], stats[f][0], -len(f), f))
-        if gain[best] - 3 * stats[best][2] < 3:
+        best = max(gain, key=lambda f: (round(gain[f], 6) - 3 * stats[f][2], stats[f][0], f[0] == "=", len(f), f))
+        if gain.pop(best) - 3 * stats[best][2] < 3:
             break
         out[best] = stats[best][0]
-        stay = []
-        for s in left:
+        for k, s in enumerate(left):
             if best in s:
-                gain.subtract(s)
-            else:
-                stay.append(s)
-        left = stay
-        gain = +gain
+                new = weight[k] / (1 + weight[k])  # 1, 1/2, 1/3, ...
+                for f in s:
+                    if f in gain:
+                        gain[f] -= weight[k] - new
+                weight[k] = new
     return out
 
 
