@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from attrmill.llm.common import Memo, arrow_stage
 
 SAMPLE, FEATURES, RULES = 20_000, 20_000, 300
+LEAST_GAIN = 2.0
 THRESHOLD = 0.7
 LEAST_SCORE = 0.01
 PREFIXES = range(3, 9)
@@ -94,7 +95,7 @@ _LETTER = r"[^\W\d_]"
 _SPACED = re.compile(rf"(?<!\w)(?:[^\W_]|[{_SIGNS}])(?:[ .\-_*,/]{{1,2}}(?:{_LETTER}|[{_SIGNS}])(?!\w)){{2,}}")
 _TOKEN = re.compile(r"\S+")
 _WORD = re.compile(rf"{_LETTER}+")
-_PLAIN = re.compile(rf"[\W_]*{_LETTER}+[\W_]*")
+_PLAIN = re.compile(rf"[^\w$@€£|+*#!¡%]*{_LETTER}+[\W_]*")
 _REPEAT = re.compile(r"(.)\1\1")
 _TRIM = " .,;:?\"'`)]}[{>~^=&\\/-_"
 
@@ -240,7 +241,7 @@ def cover(left: list[set[str]], stats: dict[str, tuple[float, int, int]], rules:
     """Weighted covering: take the rule that explains most of the toxic documents, less
     what it would accuse wrongly; a document that k rules explain weighs 1/(1+k), so
     several rules of one document can be found. Of equally good rules the longer one is
-    taken. Stop when a rule explains less than three documents' weight."""
+    taken. Stop when a rule explains less than `LEAST_GAIN` documents' weight."""
     out: dict[str, float] = {}
     weight = [1.0] * len(left)
     gain: Counter = Counter()
@@ -248,11 +249,16 @@ def cover(left: list[set[str]], stats: dict[str, tuple[float, int, int]], rules:
         gain.update(s)
     while gain and len(out) < rules:
         best = max(gain, key=lambda f: (round(gain[f], 6) - 3 * stats[f][2], stats[f][0], f[0] == "=", len(f), f))
-        if gain.pop(best) - 3 * stats[best][2] < 3:
+        if gain.pop(best) - 3 * stats[best][2] < LEAST_GAIN:
             break
         out[best] = stats[best][0]
         for k, s in enumerate(left):
             if best in s:
+                # beginnings and continuations of the same word say nothing new here
+                nested = {f for f in s if f != best and (f.strip("=").startswith(best.strip("=")) or best.strip("=").startswith(f.strip("=")))}
+                for f in nested:
+                    gain[f] -= weight[k]
+                s -= nested
                 new = weight[k] / (1 + weight[k])  # 1, 1/2, 1/3, ...
                 for f in s:
                     if f in gain:
