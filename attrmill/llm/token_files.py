@@ -3,8 +3,8 @@
 Ids are replaced by their rank by frequency (over all documents, ties by id), so
 that frequent ids are small. Four ranks share one control byte (two bits each:
 one to four bytes); the control bytes of a document stand apart from its data
-bytes. Decoding takes a control byte's four lengths, offsets and total from numpy
-tables, without a loop over the ids.
+bytes. Decoding takes a control byte's four lengths and the masks from numpy tables,
+without a loop over the ids.
 
 File (little endian), one for each range of documents in ascending doc_id order:
 
@@ -28,6 +28,7 @@ import io
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,35 +43,35 @@ from attrmill.llm.files import open_read, write_file
 MAGIC, VERSION = b"FRVB", 1
 #: Text bytes that go into one file, about.
 FILE_BYTES = 32_000_000
-_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # by control byte
-_TOTAL = _LENGTHS.sum(axis=1)
-_OFFSET = np.cumsum(_LENGTHS, axis=1) - _LENGTHS
+_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)  # by control byte
 _MASK = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 def pack(ranks: np.ndarray) -> bytes:
     """Control bytes, then data bytes, of unsigned 32-bit numbers."""
     n = len(ranks)
-    full = np.zeros(-(-n // 4) * 4, np.uint32)
+    full = np.zeros(-(-n // 4) * 4, "<u4")
     full[:n] = ranks
-    size = 1 + (full > 0xFF) + (full > 0xFFFF) + (full > 0xFFFFFF)
-    size = size.astype(np.uint8)
+    wide = int(full.max(initial=0)).bit_length() + 7 >> 3 or 1  # bytes of the largest
+    size = np.ones(len(full), np.uint8)
+    for k in range(1, wide):
+        size += full >= 1 << 8 * k
     code = (size - 1).reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    keep = np.arange(4, dtype=np.uint8) < size[:n, None]
-    return control.tobytes() + full[:n].astype("<u4").view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    keep = np.arange(wide, dtype=np.uint8) < size[:n, None]
+    return control.tobytes() + full[:n].view(np.uint8).reshape(-1, 4)[:, :wide][keep].tobytes()
 
 
 def unpack(block: bytes, n: int) -> np.ndarray:
-    """The numbers of ``pack``, by table lookup."""
+    """The numbers of ``pack``: lengths by table lookup on control bytes, then gathers."""
     groups = -(-n // 4)
     control = np.frombuffer(block, np.uint8, groups)
-    data = np.frombuffer(block[groups:] + b"\0" * 20, np.uint8)
-    start = np.cumsum(_TOTAL[control]) - _TOTAL[control]
-    at = (start[:, None] + _OFFSET[control]).ravel()[:n]
+    data = np.frombuffer(block + b"\0" * 4, np.uint8, offset=groups)
     size = _LENGTHS[control].ravel()[:n]
-    at = np.minimum(at, len(data) - 4)
-    word = data[at].astype(np.uint32) | data[at + 1].astype(np.uint32) << 8 | data[at + 2].astype(np.uint32) << 16 | data[at + 3].astype(np.uint32) << 24
+    at = np.cumsum(size, dtype=np.int64) - size
+    word = data[at].astype(np.uint32)
+    for k in range(1, int(size.max(initial=1))):
+        word |= data[np.minimum(at + k, len(data) - 1)].astype(np.uint32) << np.uint32(8 * k)
     return word & _MASK[size]
 
 
@@ -78,6 +79,9 @@ def unpack(block: bytes, n: int) -> np.ndarray:
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters whose class may differ between Unicode versions or libraries: such stretches go to the library as they are.
 ODD = re.compile("[^\t-\r -~\xa1-\u024f]")
+#: A space beside other white space; and white space outside the usual six.
+NEAR_SPACE = tuple(p for c in " \t\n\v\f\r" for p in (" " + c, c + " "))
+RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class ChunkEncoder:
@@ -95,50 +99,45 @@ class ChunkEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.memo = Memo(self._stretch, 1_000_000)
+        self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
+        self.tokenize = self.lib.model.tokenize
+        self.memo = Memo(lambda s: self._ids(" " + s), 1_000_000)  # stretches with the space before them
         self.pieces = Memo(self._piece, 400_000)
-        self.symbols = byte_alphabet()
-        self.by_byte = {b: s for b, s in enumerate(self.symbols)}
+        self.by_byte = dict(enumerate(byte_alphabet()))
 
-    def _stretch(self, stretch: str) -> bytes:
+    def _ids(self, stretch: str) -> bytes:
         if ODD.search(stretch):
-            return np.array(self.lib.encode(stretch, add_special_tokens=False).ids, "<u2" if self.narrow else "<u4").tobytes()
+            return array(self.code, self.lib.encode(stretch, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.pieces.__getitem__, SPLIT.findall(stretch)))
 
     def _piece(self, piece: str) -> bytes:
         """One word of the splitter through the library's BPE model, without the cost of its pipeline."""
-        found = self.lib.model.tokenize(piece.encode().decode("latin-1").translate(self.by_byte))
-        return np.array([t.id for t in found], "<u2" if self.narrow else "<u4").tobytes()
+        symbols = piece.encode().decode("latin-1").translate(self.by_byte)
+        return array(self.code, [t.id for t in self.tokenize(symbols)]).tobytes()
 
-    @functools.cached_property
-    def narrow(self) -> bool:
-        return self.lib.get_vocab_size() <= 1 << 16
-
-    def encode(self, text: str) -> np.ndarray:
-        kind = "<u2" if self.narrow else "<u4"
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned integers of ``width`` bytes."""
         if any(s in text for s in self.special):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, kind)
+            return array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
         head, *rest = text.split(" ")
-        parts: list[str] = [head]
-        # an empty stretch, or one with white space at its ends, is joined with its neighbours
-        if "" in rest or not head or text != text.strip() or any(s[0].isspace() or s[-1].isspace() for s in rest) or head[-1].isspace():
+        if text[0].isspace() or text[-1].isspace() or any(p in text for p in NEAR_SPACE) or RARE_SPACE.search(text):
+            # a stretch that is empty or has white space at its ends is joined with its neighbours
+            parts = [head]
             for s in rest:
                 if parts[-1] and s and not s[0].isspace() and not parts[-1][-1].isspace():
                     parts.append(" " + s)
                 else:
                     parts[-1] += " " + s
-        else:
-            parts += [" " + s for s in rest]
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, parts)), kind)
+            return b"".join([self._ids(p) for p in parts])
+        return self._ids(head) + b"".join(map(self.memo.__getitem__, rest))
 
 
 def _encode(batches, spec, end_id):
     encoder = ChunkEncoder(spec.value)
+    end = end_id.to_bytes(encoder.width, "little")
     for b in batches:
-        out = []
-        for text in b.column(1).to_pylist():
-            ids = encoder.encode(text) if text else np.empty(0, "<u2")
-            out.append(np.append(ids, np.array([end_id], ids.dtype)).astype("<u2" if encoder.narrow else "<u4").tobytes())
+        out = [encoder.encode(text) + end if text else end for text in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
 
