@@ -49,6 +49,8 @@ HOT_LIMIT = 100_000
 LIGHT_MAX = 64
 #: A list of node ids of at most this many is broadcast; beyond it a shuffle join serves.
 BROADCAST_IDS = 1_000_000
+#: So few pairs are checked in one go; the links are the same either way.
+FEW_PAIRS = 5_000
 #: Shingles gathered before a task reports the repeated ones.
 _CHUNK = 1_500_000
 
@@ -216,13 +218,17 @@ class _Links:
             "nodes",
         )
 
-    def check(self, pairs: DataFrame) -> DataFrame:
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that pass the size ratio and the bitmap bound."""
         side = self.nodes.select("node", "n", "bits")
         sized = (
             pairs.join(side.toDF("a", "na", "xa"), "a").join(side.toDF("b", "nb", "xb"), "b")
             .filter("5 * na >= 4 * nb and 5 * nb >= 4 * na")
         )
-        near = self.work.save(arrow_stage(sized.select("a", "b", "na", "nb", "xa", "xb"), _bound, "a long, b long"), "near")
+        return self.work.save(arrow_stage(sized.select("a", "b", "na", "nb", "xa", "xb"), _bound, "a long, b long"), "near")
+
+    def check(self, near: DataFrame) -> DataFrame:
+        """The pairs whose full sets link."""
         used = self.work.save(
             near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "doc_id"), "node"), "used"
         )
@@ -293,7 +299,13 @@ def join_components(docs: DataFrame) -> DataFrame:
     listed = work.save(listed.join(shared, "key").distinct(), "listed")
     total = listed.count()
 
-    links, comps, last = None, None, None
+    links = comps = last = None
+
+    def add(found: DataFrame) -> None:
+        nonlocal links, comps
+        links = found if links is None else work.save(links.unionByName(found), "links")
+        comps = components(work, links)
+
     round_no = 0
     while True:
         if comps is None:
@@ -310,13 +322,16 @@ def join_components(docs: DataFrame) -> DataFrame:
             live.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
             .agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
         )
-        if ahead <= 2 * total + 1000 or (last is not None and ahead > 0.9 * last):
+        if ahead <= total // 4 + 1000 or (last is not None and ahead > 0.8 * last):
             break
         last = ahead
-        star = live.filter("comp != pivot.comp").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
-        found = check.check(star)
-        links = found if links is None else work.save(links.unionByName(found).distinct(), "links")
-        comps = components(work, links)
+        # each member against the pivot that it shares most lists with; later rounds and the last step see the rest
+        star = (
+            live.filter("comp != pivot.comp").groupBy("node", F.col("pivot.node").alias("pivot")).agg(F.count(F.lit(1)).alias("m"))
+            .groupBy("node").agg(F.max(F.struct("m", "pivot"))["pivot"].alias("pivot"))
+            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        )
+        add(check.check(check.near(star)))
         round_no += 1
     if ahead:
         entry = live.select("key", "node", "comp")
@@ -324,9 +339,18 @@ def join_components(docs: DataFrame) -> DataFrame:
             entry.toDF("key", "a", "ca").join(entry.toDF("key", "b", "cb"), "key")
             .filter("a < b and ca != cb").select("a", "b").distinct()
         )
-        found = check.check(rest)
-        links = found if links is None else work.save(links.unionByName(found).distinct(), "links")
-        comps = components(work, links)
+        near = check.near(rest)
+        for _ in range(2):  # one partner of each member first: what that contracts needs no further check
+            if near.count() <= FEW_PAIRS:
+                break
+            first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            add(check.check(work.save(first, "first")))
+            side = comps.select("node", "comp")
+            near = work.save(
+                near.join(first, ["a", "b"], "left_anti").join(side.toDF("a", "ca"), "a", "left").join(side.toDF("b", "cb"), "b", "left")
+                .filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"), "near",
+            )
+        add(check.check(near))
     ids = check.nodes.select("node", "doc_id")
     if comps is not None:
         ids = ids.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
