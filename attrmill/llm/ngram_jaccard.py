@@ -106,7 +106,7 @@ def _subset_keys(first: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(u: np.ndarray) -> bytes:
-    m = 1 << max(6, (8 * len(u) - 1).bit_length())
+    m = 1 << max(6, (2 * len(u) - 1).bit_length())  # 2 to 4 bits an element
     bits = np.zeros(m, np.uint8)
     bits[(u >> np.uint64(20)) & np.uint64(m - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -334,10 +334,10 @@ def join_components(docs: DataFrame) -> DataFrame:
         add(check.check(check.near(star)))
         round_no += 1
     if ahead:
-        entry = live.select("key", "node", "comp")
+        entry = work.save(live.select("key", "node", "comp").join(check.nodes.select("node", "n"), "node").select("key", "node", "comp", "n"), "entry")
         rest = (
-            entry.toDF("key", "a", "ca").join(entry.toDF("key", "b", "cb"), "key")
-            .filter("a < b and ca != cb").select("a", "b").distinct()
+            entry.toDF("key", "a", "ca", "na").join(entry.toDF("key", "b", "cb", "nb"), "key")
+            .filter("a < b and ca != cb and 5 * na >= 4 * nb and 5 * nb >= 4 * na").select("a", "b").distinct()
         )
         near = check.near(rest)
         for _ in range(2):  # one partner of each member first: what that contracts needs no further check
