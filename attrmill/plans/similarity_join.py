@@ -45,11 +45,18 @@ def deletion_counts(length: int, min_score: int, t_fn=None) -> list[int]:
     """Deletion counts a word of this length needs over all partner lengths that can match."""
     t_fn = t_fn or (lambda la, lb: min_common(la, lb, min_score))
     ks = set()
-    # Partners far shorter or longer can never reach the threshold; 4x bounds them.
-    for m in range(1, 4 * length + 4):
+    # t grows with the partner's length: from the first longer partner that needs more
+    # letters than this word has, no partner can match, whatever the cut-off.
+    if t_fn(length, 1_000_000_000) <= 0:
+        raise ValueError("a similarity join needs a cut-off above 0")
+    m = 1
+    while True:
         t = t_fn(length, m)
         if 0 < t <= min(length, m):
             ks.add(length - t)
+        elif m > length and t > length:
+            break
+        m += 1
     return sorted(ks)
 
 

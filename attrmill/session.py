@@ -56,12 +56,15 @@ def _apply_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when the session names none (local tests) a scratch folder is made.
+    Only a local session (tests) that names none gets a scratch folder; on a cluster a
+    machine-local folder would lose data with its machine, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="attrmill-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
