@@ -25,6 +25,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,22 +95,21 @@ class Model:
 
     def _backoff(self, marked: str) -> tuple[float, ...]:
         """Mean of the n-gram scores of the longest known length that covers each character."""
-        open_at = [True] * len(marked)
-        total, used = [0.0] * len(self.langs), 0
+        open_at = bytearray(b"\1" * len(marked))
+        hits = []
         for k in LENGTHS:
             found = []
             for i in range(len(marked) - k + 1):
-                if any(open_at[i : i + k]):
+                if open_at.find(1, i, i + k) >= 0:
                     s = self.grams.get(marked[i : i + k])
                     if s is not None:
                         found.append(i)
-                        used += 1
-                        total = [a + b for a, b in zip(total, s)]
+                        hits.append(s)
             for i in found:
-                open_at[i : i + k] = [False] * k
-            if not any(open_at):
+                open_at[i : i + k] = bytes(k)
+            if 1 not in open_at:
                 break
-        return tuple(t / used for t in total) if used else tuple(total)
+        return tuple(sum(x) / len(hits) for x in zip(*hits)) if hits else (0.0,) * len(self.langs)
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
@@ -137,9 +137,39 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: in
     return Model({r.word: r.c for r in top}, best, totals)
 
 
+class _Scores:
+    """Scores of the words met so far as rows of one matrix. Bounded: when full it
+    begins anew between two texts, and grows beyond that only for one text's own words."""
+
+    def __init__(self, model: Model, limit: int = 400_000) -> None:
+        self.model, self.limit = model, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows = np.empty((1 << 12, len(self.model.langs)))
+        self.at = Memo(self._add, 1 << 62)
+
+    def _add(self, word: str) -> int:
+        n = len(self.at)
+        if n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[n] = self.model.word(word)
+        return n
+
+    def total(self, words: list[str]) -> np.ndarray:
+        if len(self.at) >= self.limit:
+            self.clear()
+        total = np.zeros(len(self.model.langs))
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            at = np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))
+            total += self.rows[at].sum(axis=0)
+        return total
+
+
 def _predict(batches, model, n_keep):
     m = model.value
-    memo = Memo(m.word)
+    scores = _Scores(m)
     for b in batches:
         lang, score = [], []
         for text in b.column(n_keep).to_pylist():
@@ -147,11 +177,10 @@ def _predict(batches, model, n_keep):
             if not found or not m.langs:
                 lang.append(UNDETERMINED), score.append(0.0)
                 continue
-            sums = [sum(x) for x in zip(*map(memo.__getitem__, found))]
-            top = max(sums)
-            odds = [math.exp(max((s - top) / len(found), -700)) for s in sums]
-            lang.append(m.langs[sums.index(top)])
-            score.append(1 / sum(odds))
+            sums = scores.total(found)
+            top = int(sums.argmax())
+            lang.append(m.langs[top])
+            score.append(float(1 / np.exp(np.maximum((sums - sums[top]) / len(found), -700)).sum()))
         yield pa.RecordBatch.from_arrays(
             [*(b.column(i) for i in range(n_keep)), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
             [*b.schema.names[:n_keep], "lang_pred", "score"],
