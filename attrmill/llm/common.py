@@ -44,18 +44,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+#: Removes the shuffle files of a statement when it ends: a saved table needs none of them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Intermediate tables of one operator run, written as Parquet to the shared
     folder: lineage ends there, and a lost executor costs only its own tasks."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.dir, self.n = spark, shared_dir(spark), 0
+        self.held: list[tuple[DataFrame, str]] = []
 
     def save(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.dir}/{self.n:03d}-{name}"
-        df.write.parquet(path, compression=compression)
-        return self.spark.read.schema(df.schema).parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path, compression=compression)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
+        saved = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((saved, path))
+        return saved
+
+    def drop(self, *saved: DataFrame | None) -> None:
+        """Deletes saved tables that no later step reads."""
+        for df, path in [x for x in self.held if any(x[0] is y for y in saved)]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.held = [x for x in self.held if not any(x[0] is y for y in saved)]
 
 
 class Memo(dict):

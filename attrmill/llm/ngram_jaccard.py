@@ -235,7 +235,7 @@ class _Links:
         small = used.count() <= BROADCAST_IDS
         texts = self.docs.select("doc_id", F.col("text").cast("binary").alias("text"))
         texts = self.work.save(texts.join(F.broadcast(used) if small else used, "doc_id").select("node", "text").distinct(), "texts")
-        return self.work.save(
+        links = self.work.save(
             arrow_stage(
                 near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
                 .select("a", "b", "ta", "tb").sortWithinPartitions("a"),
@@ -243,6 +243,8 @@ class _Links:
             ).distinct(),
             "links",
         )
+        self.work.drop(used, texts, near)
+        return links
 
 
 # ---- components -------------------------------------------------------------------------
@@ -270,15 +272,18 @@ def components(work: Workspace, links: DataFrame) -> DataFrame:
     edges = work.save(links.select("a", "b").filter("a != b").distinct(), "edges")
     before = mark(edges)
     while True:
-        edges = work.save(star(star(edges, True), False), "edges")
+        last, edges = edges, work.save(star(star(edges, True), False), "edges")
+        work.drop(last)
         after = mark(edges)
         if after == before:
             break
         before = after
-    return work.save(
+    comps = work.save(
         edges.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "node")
         .unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "comps",
     )
+    work.drop(edges)
+    return comps
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -295,28 +300,37 @@ def join_components(docs: DataFrame) -> DataFrame:
     named = profiles.filter(F.col("doc_id").isNotNull())
     listed = keys(named, light_boundary(named))
     # lists with a single node are dropped before their rows are kept
-    shared = listed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("key")
+    shared = work.save(listed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("key"), "shared")
     listed = work.save(listed.join(shared, "key").distinct(), "listed")
     total = listed.count()
+    wide, profiles = profiles, work.save(profiles.select("doc_id", "n", "node"), "sizes")
+    work.drop(shared, wide)
 
-    links = comps = last = None
+    links = comps = last = live = None
 
     def add(found: DataFrame) -> None:
         nonlocal links, comps
-        links = found if links is None else work.save(links.unionByName(found), "links")
+        parts, old = (links, found), comps
+        if links is None:
+            links = found
+        else:
+            links = work.save(links.unionByName(found), "links")
+            work.drop(*parts)
         comps = components(work, links)
+        work.drop(old)
 
     round_no = 0
     while True:
         if comps is None:
-            live = listed.withColumn("comp", F.col("node"))
+            now = listed.withColumn("comp", F.col("node"))
         else:
-            live = listed.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        open_keys = live.groupBy("key").agg(
+            now = listed.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        open_keys = now.groupBy("key").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"),
             F.min(F.struct(F.xxhash64("comp", F.lit(round_no)).alias("r"), "comp", "node")).alias("pivot"),
         ).filter("lo != hi")
-        live = work.save(live.join(open_keys.select("key", "pivot"), "key"), "live")
+        work.drop(live)
+        live = work.save(now.join(open_keys.select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.comp").alias("pivot_comp")), "key"), "live")
         # pairs of different components that share a list
         ahead = (
             live.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
@@ -327,7 +341,7 @@ def join_components(docs: DataFrame) -> DataFrame:
         last = ahead
         # each member against the pivot that it shares most lists with; later rounds and the last step see the rest
         star = (
-            live.filter("comp != pivot.comp").groupBy("node", F.col("pivot.node").alias("pivot")).agg(F.count(F.lit(1)).alias("m"))
+            live.filter("comp != pivot_comp").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("m"))
             .groupBy("node").agg(F.max(F.struct("m", "pivot"))["pivot"].alias("pivot"))
             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         )
@@ -335,21 +349,24 @@ def join_components(docs: DataFrame) -> DataFrame:
         round_no += 1
     if ahead:
         entry = work.save(live.select("key", "node", "comp").join(check.nodes.select("node", "n"), "node").select("key", "node", "comp", "n"), "entry")
+        work.drop(live, listed)
         rest = (
             entry.toDF("key", "a", "ca", "na").join(entry.toDF("key", "b", "cb", "nb"), "key")
             .filter("a < b and ca != cb and 5 * na >= 4 * nb and 5 * nb >= 4 * na").select("a", "b").distinct()
         )
         near = check.near(rest)
+        work.drop(entry)
         for _ in range(2):  # one partner of each member first: what that contracts needs no further check
             if near.count() <= FEW_PAIRS:
                 break
             first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
             add(check.check(work.save(first, "first")))
-            side = comps.select("node", "comp")
+            side, old = comps.select("node", "comp"), near
             near = work.save(
                 near.join(first, ["a", "b"], "left_anti").join(side.toDF("a", "ca"), "a", "left").join(side.toDF("b", "cb"), "b", "left")
                 .filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"), "near",
             )
+            work.drop(old)
         add(check.check(near))
     ids = check.nodes.select("node", "doc_id")
     if comps is not None:
