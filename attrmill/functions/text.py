@@ -108,9 +108,10 @@ def letters_only(c: Column) -> Column:
 
 def possible_camel_case(a1: Column) -> Column:
     """Decided on attribute1 only: capitals after the first char and no whitespace."""
-    return (F.substring(a1, 2, 1 << 20) != F.substring(F.lower(a1), 2, 1 << 20)) & (a1 == strip_whitespace(a1))
+    return (F.substr(a1, F.lit(2)) != F.substr(F.lower(a1), F.lit(2))) & (a1 == strip_whitespace(a1))
 
 
+# Fixed value: where a camel-case name is split.
 CAMEL_SPLIT = r"((?<=[a-z])[A-Z]|(?<!\A)[A-Z](?=[a-z]))"
 
 

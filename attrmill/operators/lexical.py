@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from attrmill.functions import text as X
 from attrmill.functions.porter import stem_udf
 
-# The English stop word list named by the reference's documentation (179 words, in its order).
+# The English stop word list named by the reference's documentation (in its order).
 STOP_WORDS = [
     "on", "here", "himself", "just", "doesn", "hadn", "mightn", "before", "our", "so", "be", "haven", "off", "up",
     "o", "same", "ma", "yourself", "when", "between", "wouldn", "re", "were", "too", "his", "theirs", "them", "few",

@@ -3,7 +3,7 @@
 Each adapter reads whole tables (column-pruned parquet scans) and returns the
 long form ``sample_attr(sample_id, attribute, value)`` or ``attr_values`` or
 ``decisions``. The same definitions are written in SQL in
-``attrmill.plans.oracle`` so that DuckDB can check every query.
+the ``attrmill.catalog*`` modules so that DuckDB can check every query.
 """
 
 from __future__ import annotations
