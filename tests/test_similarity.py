@@ -44,3 +44,11 @@ def test_deletion_counts_cover_every_partner_length():
             if t <= min(la, lb):
                 assert la - t in S.deletion_counts(la, 80)
                 assert lb - t in S.deletion_counts(lb, 80)
+
+
+def test_exempt_term_is_taken_literally(spark):
+    pairs = spark.createDataFrame(
+        [("v.x visit", "v.x visits", 95), ("v.x a", "v.x b", 80), ("vax one", "vax two", 81)], "attribute1 string, attribute2 string, levenshtein int"
+    )
+    got = {(r.attribute1, r.levenshtein) for r in S.shared_term_exemption(pairs, term="v.x").collect()}
+    assert got == {("v.x visit", 92), ("vax one", 81)}
