@@ -26,6 +26,7 @@ from __future__ import annotations
 import functools
 import io
 import re
+import string
 import struct
 import zlib
 from array import array
@@ -79,18 +80,14 @@ def unpack(block: bytes, n: int) -> np.ndarray:
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters whose class may differ between Unicode versions or libraries: such stretches go to the library as they are.
 ODD = re.compile("[^\t-\r -~\xa1-\u024f]")
-#: A space beside other white space; and white space outside the usual six.
-NEAR_SPACE = tuple(p for c in " \t\n\v\f\r" for p in (" " + c, c + " "))
-RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, memoised by stretches.
 
     A space between two characters that are no white space always begins a new word
-    of the splitter, so a text may be encoded stretch by stretch there. Texts
-    with other white space around spaces, or with a special token, go to the library
-    as a whole."""
+    of the splitter, so a text may be encoded stretch by stretch there, and a stretch
+    of letters is one word, alone or before punctuation. Stretches with white space at
+    their ends are joined with their neighbours; texts with a special token go to the
+    library as a whole."""
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -102,27 +99,45 @@ class ChunkEncoder:
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.tokenize = self.lib.model.tokenize
-        self.memo = Memo(lambda s: self._ids(" " + s), 1_000_000)  # stretches with the space before them
-        self.pieces = Memo(self._piece, 400_000)
         self.by_byte = dict(enumerate(byte_alphabet()))
+        self.space = self.by_byte[32]
+        self.memo = Memo(self._stretch, 1_500_000)  # stretches, without the space before them
+        self.pieces = Memo(self._piece, 200_000)
+
+    def _stretch(self, s: str) -> bytes | None:
+        """Ids of a stretch with the space before it; None if it cannot stand alone."""
+        plain = s.isascii() and s.isprintable() or not ODD.search(s)
+        if plain and s.isalpha():
+            return self._bpe(self.space + s) if s.isascii() else self._piece(" " + s)
+        if not s or s[0].isspace() or s[-1].isspace():
+            return None
+        word = s.rstrip(string.punctuation)
+        if plain and word.isalpha():
+            return self.memo[word] + self.pieces[s[len(word) :]]
+        return self._ids(" " + s)
 
     def _ids(self, stretch: str) -> bytes:
         if ODD.search(stretch):
-            return array(self.code, self.lib.encode(stretch, add_special_tokens=False).ids).tobytes()
+            return self._library(stretch)
         return b"".join(map(self.pieces.__getitem__, SPLIT.findall(stretch)))
 
     def _piece(self, piece: str) -> bytes:
         """One word of the splitter through the library's BPE model, without the cost of its pipeline."""
-        symbols = piece.encode().decode("latin-1").translate(self.by_byte)
+        return self._bpe(piece.encode().decode("latin-1").translate(self.by_byte))
+
+    def _bpe(self, symbols: str) -> bytes:
         return array(self.code, [t.id for t in self.tokenize(symbols)]).tobytes()
 
+    def _library(self, text: str) -> bytes:
+        return array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned integers of ``width`` bytes."""
         if any(s in text for s in self.special):
-            return array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+            return self._library(text)
         head, *rest = text.split(" ")
-        if text[0].isspace() or text[-1].isspace() or any(p in text for p in NEAR_SPACE) or RARE_SPACE.search(text):
-            # a stretch that is empty or has white space at its ends is joined with its neighbours
+        found = list(map(self.memo.__getitem__, rest))
+        if rest and (not head or head[-1].isspace() or None in found):
             parts = [head]
             for s in rest:
                 if parts[-1] and s and not s[0].isspace() and not parts[-1][-1].isspace():
@@ -130,11 +145,17 @@ class ChunkEncoder:
                 else:
                     parts[-1] += " " + s
             return b"".join([self._ids(p) for p in parts])
-        return self._ids(head) + b"".join(map(self.memo.__getitem__, rest))
+        return self._ids(head) + b"".join(found)
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(spec: str) -> ChunkEncoder:
+    """One encoder for each Python worker: what it has met serves its later tasks too."""
+    return ChunkEncoder(spec)
 
 
 def _encode(batches, spec, end_id):
-    encoder = ChunkEncoder(spec.value)
+    encoder = _encoder(spec.value)
     end = end_id.to_bytes(encoder.width, "little")
     for b in batches:
         out = [encoder.encode(text) + end if text else end for text in b.column(1).to_pylist()]
@@ -144,11 +165,10 @@ def _encode(batches, spec, end_id):
 def _frequencies(batches, kind):
     total = np.zeros(1 << 16, np.int64)
     for b in batches:
-        for raw in b.column(0).to_pylist():
-            c = np.bincount(np.frombuffer(raw, kind))
-            if len(c) > len(total):
-                total = np.pad(total, (0, len(c) - len(total)))
-            total[: len(c)] += c
+        c = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
+        if len(c) > len(total):
+            total = np.pad(total, (0, len(c) - len(total)))
+        total[: len(c)] += c
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["id", "n"])
 
