@@ -40,18 +40,22 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+#: Date formats of the SQL twin, in the terms of its own parser.
+SQL_DATE_FORMATS = [
+    "%Y-%m-%d", "%Y/%m/%d", "%Y-%m", "%d/%m/%Y", "%m/%d/%Y", "%d.%m.%Y", "%d-%m-%Y", "%d %B %Y", "%d %b %Y", "%d-%b-%Y",
+    "%B %d, %Y", "%b %d, %Y", "%B %Y", "%b %Y", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%SZ",
+]
+
+
 def sql_typed(src: str) -> str:
-    num = _sql_str(V.NUMBER_RE)
-    dates = " OR ".join(f"regexp_matches(value, {_sql_str(rx)})" for rx in V.DATE_RES)
+    formats = ", ".join(_sql_str(f) for f in SQL_DATE_FORMATS)
     return f"""
+numbered AS (SELECT *, coalesce(TRY_CAST(value AS DOUBLE), TRY_CAST(replace(value, ',', '.') AS DOUBLE)) AS num FROM {src}),
 typed AS (
-  SELECT attribute, value, n,
-         CASE WHEN regexp_matches(value, {num}) OR regexp_matches(replace(value, ',', '.'), {num}) THEN 'numeric'
-              WHEN {dates} THEN 'date' ELSE 'string' END AS vt,
-         coalesce(CASE WHEN regexp_matches(value, {num}) THEN TRY_CAST(replace(trim(value), '_', '') AS DOUBLE) END,
-                  CASE WHEN regexp_matches(replace(value, ',', '.'), {num})
-                       THEN TRY_CAST(replace(trim(replace(value, ',', '.')), '_', '') AS DOUBLE) END) AS num
-  FROM {src}),
+  SELECT attribute, value, n, num,
+         CASE WHEN num IS NOT NULL THEN 'numeric'
+              WHEN try_strptime(value, [{formats}]) IS NOT NULL THEN 'date' ELSE 'string' END AS vt
+  FROM numbered),
 prof AS (
   SELECT attribute,
          CAST(sum(CASE WHEN vt = 'numeric' THEN 1 ELSE 0 END) AS BIGINT) AS n_numeric,

@@ -24,16 +24,37 @@ NUMBER_RE = (
     rf"^\s*[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
     r"|(?i:inf|infinity|nan))\s*$"
 )
-# Date shapes accepted (a fixed, engine-independent subset of lenient date parsing).
-_MONTH = r"(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?"
-DATE_RES = [
-    r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?$",
-    r"^\d{4}/\d{1,2}/\d{1,2}$",
-    r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}$",
-    rf"^\d{{1,2}} {_MONTH},? \d{{4}}$",
-    rf"^{_MONTH} \d{{1,2}},? \d{{4}}$",
-    rf"^{_MONTH} \d{{4}}$",
-]
+# Dates: year first, year last (day and month in either order) or with a month's name, in the
+# calendar; a time of day with an optional zone may follow. One pattern, built by rule.
+_MONTHS = "January February March April May June July August September October November December".split()
+_YEAR = r"(?!0000)\d{4}"
+_LEAP = r"(?!0000)(?:\d\d(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
+
+
+def _month(numbers: list[int]) -> tuple[str, str]:
+    """Patterns of some months, as numbers and by name (whole or its first letters)."""
+    names = [_MONTHS[i - 1] for i in numbers]
+    short = [n[:3] + (f"(?:{'t|' if n[:3] == 'Sep' else ''}{n[3:]})?" if n[3:] else "") for n in names]
+    return "(?:" + "|".join(f"0?{i}" if i < 10 else str(i) for i in numbers) + ")", "(?:" + "|".join(short) + r")\.?"
+
+
+def _date_pattern() -> str:
+    full = []
+    for months, day, year in (
+        ([1, 3, 5, 7, 8, 10, 12], r"(?:0?[1-9]|[12]\d|3[01])", _YEAR),
+        ([4, 6, 9, 11], r"(?:0?[1-9]|[12]\d|30)", _YEAR),
+        ([2], r"(?:0?[1-9]|1\d|2[0-8])", _YEAR),
+        ([2], "29", _LEAP),
+    ):
+        m, name = _month(months)
+        full += [f"{year}-{m}-{day}", f"{year}/{m}/{day}", f"{m}[/.-]{day}[/.-]{year}", f"{day}[/.-]{m}[/.-]{year}"]
+        full += [f"{day}[ -]{name}(?:,? |-){year}", f"{name} {day},? {year}"]
+    time = r"[ T](?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?(?: ?(?:Z|UTC|GMT|[+-]\d{2}:?\d{2}))?"
+    m, name = _month(list(range(1, 13)))
+    return f"^(?i)(?:(?:{'|'.join(full)})(?:{time})?|{_YEAR}-{m}|{name},? {_YEAR})$"
+
+
+DATE_RE = _date_pattern()
 
 
 def numeric_value(v: Column) -> Column:
@@ -49,10 +70,8 @@ def is_numeric(v: Column) -> Column:
 
 
 def is_date(v: Column) -> Column:
-    out = F.lit(False)
-    for rx in DATE_RES:
-        out = out | v.rlike(rx)
-    return out
+    """V1 (date part): a date of one of the shapes that is in the calendar."""
+    return F.coalesce(v.rlike(DATE_RE), F.lit(False))
 
 
 def value_type(v: Column) -> Column:
@@ -88,6 +107,7 @@ def _mixed(t: str) -> Column:
     return (r1 > 0.25) & (r2 > 0.25) & (r2 > r1 * 0.95) & (r2 < r1 * 1.05)
 
 
+# The labels of a type match, as users see them.
 def type_match() -> Column:
     """V3 over the good (list 1) and bad (list 2) profiles, with the documented mixed labels."""
     g = lambda c: F.col(f"{c}_good")
