@@ -2,8 +2,8 @@
 
 E1: a stream of sample rows (sample_id, attribute, value) keeps attribute,
 value and co-occurrence counts current. Counts are additive, so each
-micro-batch's partial counts are merged into the stored totals (B3/B5); a
-batch id ledger makes replays after a failure idempotent. Weights (B7) are
+micro-batch's partial counts are merged into the stored totals (B3/B5); tables
+and batch id are committed by one mark, so a replay after a failure changes nothing. Weights (B7) are
 global and stay a batch job over the merged counts.
 
 E2: the decision log as a stream: duplicates within the watermark are dropped,
@@ -13,45 +13,75 @@ running aggregates.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrmill.operators import stats as B
-from attrmill.sources.sinks import upsert_by_key
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if os.path.exists(path) else None
+#: The stored tables and their keys.
+COUNT_TABLES = {"attributes": ["attribute"], "values": ["attribute", "value"], "coexist": ["attribute1", "attribute2"]}
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system that holds `path`, and the path in its terms."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def committed_batch(spark: SparkSession, store: str) -> int | None:
+    """The newest batch whose tables are all complete (its mark is written last)."""
+    fs, at = _hadoop(spark, f"{store}/commits")
+    if not fs.exists(at):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    return max((int(n) for n in names if n.isdigit()), default=None)
+
+
+def _version(store: str, name: str, batch_id: int) -> str:
+    return f"{store}/{name}/v{batch_id:012d}"
+
+
+def read_counts(spark: SparkSession, store: str, name: str) -> DataFrame | None:
+    """A count table as of the newest committed batch; None before the first one."""
+    done = committed_batch(spark, store)
+    return None if done is None else spark.read.parquet(_version(store, name, done))
 
 
 def merge_counts_batch(batch: DataFrame, batch_id: int, store: str) -> None:
-    """foreachBatch body for E1: fold one micro-batch into versioned count tables."""
+    """foreachBatch body for E1: fold one micro-batch into versioned count tables.
+
+    Every batch writes whole new versions from the newest committed ones; one small
+    mark, written last, commits all of them and the batch id at once. A failure before
+    the mark leaves the committed versions as they were, and the retry overwrites its
+    own partial ones. Counts hold per batch: a sample is expected to arrive in one
+    batch. The versions before the last committed one are removed.
+    """
     spark = batch.sparkSession
-    ledger_path = os.path.join(store, "ledger")
-    ledger = _read_or_none(spark, ledger_path)
-    if ledger is not None and ledger.where(F.col("batch_id") == batch_id).limit(1).count() > 0:
+    done = committed_batch(spark, store)
+    if done is not None and batch_id <= done:
         return  # already merged (replay)
-    version = f"v{batch_id:012d}"
-    parts = {
-        "attributes": (B.attribute_frequency(batch).withColumnRenamed("frequency", "n"), ["attribute"]),
-        "values": (B.value_counts(batch), ["attribute", "value"]),
-        "coexist": (B.cooccurrence(batch).withColumnRenamed("totals", "n"), ["attribute1", "attribute2"]),
-    }
-    for name, (delta, keys) in parts.items():
-        current = _read_or_none(spark, os.path.join(store, name, "current"))
-        if current is None:
-            merged = delta
-        else:
-            summed = current.unionByName(delta).groupBy(*keys).agg(F.sum("n").cast("bigint").alias("n"))
-            merged = upsert_by_key(current, summed, keys)
-        out = os.path.join(store, name, version)
-        merged.write.mode("overwrite").parquet(out)
-        # Point `current` at the new version by rewriting the small pointer table.
-        spark.read.parquet(out).write.mode("overwrite").parquet(os.path.join(store, name, "current_tmp"))
-        spark.read.parquet(os.path.join(store, name, "current_tmp")).write.mode("overwrite").parquet(os.path.join(store, name, "current"))
-    spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(ledger_path)
+    batch.persist()
+    try:
+        parts = {
+            "attributes": B.attribute_frequency(batch).withColumnRenamed("frequency", "n"),
+            "values": B.value_counts(batch),
+            "coexist": B.cooccurrence(batch).withColumnRenamed("totals", "n"),
+        }
+        for name, merged in parts.items():
+            if done is not None:
+                held = spark.read.parquet(_version(store, name, done))
+                merged = held.unionByName(merged).groupBy(*COUNT_TABLES[name]).agg(F.sum("n").cast("bigint").alias("n"))
+            merged.write.mode("overwrite").parquet(_version(store, name, batch_id))
+    finally:
+        batch.unpersist()
+    fs, mark = _hadoop(spark, f"{store}/commits/{batch_id:012d}")
+    fs.create(mark, True).close()
+    for name in COUNT_TABLES:
+        fs, at = _hadoop(spark, f"{store}/{name}")
+        for old in fs.listStatus(at):
+            if old.getPath().getName() not in (f"v{batch_id:012d}", f"v{done or 0:012d}"):
+                fs.delete(old.getPath(), True)
 
 
 def start_incremental_counts(stream: DataFrame, store: str, checkpoint: str, trigger_once: bool = True):

@@ -30,8 +30,31 @@ def test_incremental_counts_are_replay_safe(spark):
     E.merge_counts_batch(batch, 0, store)
     E.merge_counts_batch(batch, 0, store)  # replay of the same batch id: no double count
     E.merge_counts_batch(batch, 1, store)  # a second batch with the same rows: counts double
-    got = spark.read.parquet(os.path.join(store, "attributes", "current"))
+    got = E.read_counts(spark, store, "attributes")
     from attrmill.operators import stats as B
 
     want = B.attribute_frequency(batch).select("attribute", (F.col("frequency") * 2).alias("n"))
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_a_failure_before_the_commit_changes_nothing(spark, monkeypatch):
+    """The batch fails after its first tables are written; its retry counts it once."""
+    store = tempfile.mkdtemp(prefix="attrmill-store-", dir="/tmp")
+    schema = "sample_id long, attribute string, value string"
+    first = spark.createDataFrame([(1, "a", "x"), (1, "b", "y")], schema)
+    second = spark.createDataFrame([(2, "a", "x"), (2, "b", "z")], schema)
+    E.merge_counts_batch(first, 0, store)
+    with monkeypatch.context() as m:
+        m.setattr(E.B, "cooccurrence", lambda df: df.select(F.raise_error(F.lit("lost")).alias("attribute1"), F.lit("").alias("attribute2"), F.lit(1).alias("totals")))
+        try:
+            E.merge_counts_batch(second, 1, store)
+            raise AssertionError("the batch was meant to fail")
+        except Exception as e:
+            assert "lost" in str(e)
+    assert E.committed_batch(spark, store) == 0
+    assert sorted(map(tuple, E.read_counts(spark, store, "attributes").collect())) == [("a", 1), ("b", 1)]
+    E.merge_counts_batch(second, 1, store)
+    E.merge_counts_batch(second, 1, store)
+    assert sorted(map(tuple, E.read_counts(spark, store, "attributes").collect())) == [("a", 2), ("b", 2)]
+    assert sorted(map(tuple, E.read_counts(spark, store, "values").collect())) == [("a", "x", 2), ("b", "y", 1), ("b", "z", 1)]
+    assert sorted(map(tuple, E.read_counts(spark, store, "coexist").collect())) == [("a", "b", 2)]
