@@ -183,8 +183,7 @@ def q_merge_partial_cooccurrence(spark, sf_dir):
     "WITH " + SQL_BASKETS + " SELECT count(DISTINCT sample_id) AS n_samples FROM baskets",
 )
 def q_sample_total(spark, sf_dir):
-    n = B.sample_total(A.baskets(spark, sf_dir))
-    return spark.range(1).select(F.lit(n).cast("bigint").alias("n_samples"))
+    return B.sample_total(A.baskets(spark, sf_dir))
 
 
 @register(

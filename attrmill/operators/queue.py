@@ -164,10 +164,9 @@ def pair_record(pairs: DataFrame, *features: DataFrame, key: str = "name") -> Da
 
 
 def overview_counts(pairs: DataFrame, sample_attr: DataFrame) -> DataFrame:
-    """Q16: number of pairs and of samples (one row; two scalar aggregates)."""
-    n_pairs = pairs.count()
-    n_samples = sample_attr.select("sample_id").distinct().count()
-    return pairs.sparkSession.range(1).select(F.lit(n_pairs).alias("pairs"), F.lit(n_samples).alias("samples"))
+    """Q16: number of pairs and of samples (one row; the second is a scalar subquery)."""
+    samples = sample_attr.agg(F.countDistinct("sample_id")).scalar()
+    return pairs.agg(F.count(F.lit(1)).alias("pairs")).withColumn("samples", samples)
 
 
 def feature_progress(spine: DataFrame, **stages: DataFrame) -> DataFrame:

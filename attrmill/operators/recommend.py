@@ -53,9 +53,9 @@ def batch_recommend(sample_attr: DataFrame, edges: DataFrame, n: int = 5) -> Dat
     """R1 for every sample at once -> (sample_id, attribute, total_weight, rank).
 
     sample_attr joins the edge list on the attribute (shuffle on attribute),
-    the sample's own attributes are removed with an anti-join on
-    (sample_id, attribute), sums are partially aggregated per (sample,
-    neighbour), and the top n per sample come from a window partitioned by
+    sums are partially aggregated per (sample, neighbour) before they are shuffled,
+    the sample's own attributes are removed from the sums with an anti-join on the
+    same keys, and the top n per sample come from a window partitioned by
     sample (each group is one sample's candidate list, bounded by the
     number of attributes).
     """
@@ -63,9 +63,9 @@ def batch_recommend(sample_attr: DataFrame, edges: DataFrame, n: int = 5) -> Dat
     cand = (
         own.join(edges.select(F.col("src").alias("attribute"), "dst", "weight"), "attribute")
         .select("sample_id", F.col("dst").alias("attribute"), "weight")
-        .join(own, ["sample_id", "attribute"], "left_anti")
         .groupBy("sample_id", "attribute")
         .agg(F.sum("weight").alias("total_weight"))
+        .join(own, ["sample_id", "attribute"], "left_anti")
     )
     w = Window.partitionBy("sample_id").orderBy(F.round("total_weight", 9).desc(), F.col("attribute"))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

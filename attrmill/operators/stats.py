@@ -85,22 +85,23 @@ def merge_partial_cooccurrence(*parts: DataFrame) -> DataFrame:
     )
 
 
-def sample_total(sample_attr: DataFrame) -> int:
-    """Number of samples N (a scalar; one small aggregate job)."""
-    return sample_attr.select("sample_id").distinct().count()
+def sample_total(sample_attr: DataFrame) -> DataFrame:
+    """Number of samples N, as a table of one row (n_samples)."""
+    return sample_attr.agg(F.countDistinct("sample_id").alias("n_samples"))
 
 
-def cooccurrence_weights(coexist: DataFrame, attributes: DataFrame, n_samples: int) -> DataFrame:
+def cooccurrence_weights(coexist: DataFrame, attributes: DataFrame, total: DataFrame) -> DataFrame:
     """Expected co-occurrence under independence and its normalised excess.
 
     prob = frequency / N; exp = p1 * p2 * N; diff = totals - exp;
     weight = diff / sum(diff). Pairs whose attribute is missing from
     `attributes` are dropped by the inner joins (as intended, see B8).
-    The total of diff is a single scalar computed by a one-row aggregate.
+    N (`total`, one row) and the total of diff are scalar subqueries of the plan, so
+    nothing runs while the query is built.
     """
-    n = float(n_samples)
-    p1 = attributes.select(F.col("attribute").alias("attribute1"), (F.col("frequency") / F.lit(n)).alias("p1"))
-    p2 = attributes.select(F.col("attribute").alias("attribute2"), (F.col("frequency") / F.lit(n)).alias("p2"))
+    n = total.select(F.col("n_samples").cast("double")).scalar()
+    p1 = attributes.select(F.col("attribute").alias("attribute1"), (F.col("frequency") / n).alias("p1"), n.alias("n"))
+    p2 = attributes.select(F.col("attribute").alias("attribute2"), (F.col("frequency") / n).alias("p2"))
     edges = (
         coexist.join(p1, "attribute1")
         .join(p2, "attribute2")
@@ -108,13 +109,12 @@ def cooccurrence_weights(coexist: DataFrame, attributes: DataFrame, n_samples: i
             "attribute1",
             "attribute2",
             "totals",
-            (F.col("p1") * F.col("p2") * F.lit(n)).alias("exp"),
+            (F.col("p1") * F.col("p2") * F.col("n")).alias("exp"),
         )
         .withColumn("diff", F.col("totals") - F.col("exp"))
     )
-    total_diff = edges.agg(F.sum("diff")).first()[0] or 0.0
-    weight = F.col("diff") / F.lit(total_diff) if total_diff != 0 else F.lit(None).cast("double")
-    return edges.withColumn("weight", weight)
+    total_diff = edges.agg(F.sum("diff")).scalar()
+    return edges.withColumn("weight", F.col("diff") / F.nullif(total_diff, F.lit(0.0)))
 
 
 def dropped_pairs(coexist: DataFrame, weights: DataFrame) -> DataFrame:

@@ -123,6 +123,7 @@ def shared_term_exemption(pairs: DataFrame, term: str = "vioscreen", min_score:
     return out.where(~both | (F.col("levenshtein") >= min_score))
 
 
+# Fixed value: names of nucleotide letters alone.
 NUCLEOTIDES = "^[atgcuATGCU]+$"
 
 
