@@ -72,7 +72,7 @@ def unpack(block: bytes, n: int) -> np.ndarray:
     at = np.cumsum(size, dtype=np.int64) - size
     word = data[at].astype(np.uint32)
     for k in range(1, int(size.max(initial=1))):
-        word |= data[np.minimum(at + k, len(data) - 1)].astype(np.uint32) << np.uint32(8 * k)
+        word |= data[at + k].astype(np.uint32) << np.uint32(8 * k)
     return word & _MASK[size]
 
 
@@ -136,8 +136,11 @@ class ChunkEncoder:
         if any(s in text for s in self.special):
             return self._library(text)
         head, *rest = text.split(" ")
-        found = list(map(self.memo.__getitem__, rest))
-        if rest and (not head or head[-1].isspace() or None in found):
+        try:
+            found = b"".join(map(self.memo.__getitem__, rest))
+        except TypeError:  # a stretch that cannot stand alone
+            found = None
+        if rest and (not head or head[-1].isspace() or found is None):
             parts = [head]
             for s in rest:
                 if parts[-1] and s and not s[0].isspace() and not parts[-1][-1].isspace():
@@ -145,7 +148,7 @@ class ChunkEncoder:
                 else:
                     parts[-1] += " " + s
             return b"".join([self._ids(p) for p in parts])
-        return self._ids(head) + b"".join(found)
+        return self._ids(head) + found
 
 
 @functools.lru_cache(maxsize=1)
@@ -218,7 +221,7 @@ def _read(batches, ranks_path):
             index = np.frombuffer(raw, "<u8", 4 * n, 16).reshape(-1, 4)
             ends = np.append(index[1:, 3], len(raw))
             crc = [
-                zlib.crc32(ids_of[unpack(raw[int(at) : int(end)], int(k))].astype("<u4").tobytes())
+                zlib.crc32(ids_of[unpack(raw[int(at) : int(end)], int(k))])
                 for (_, _, k, at), end in zip(index, ends)
             ]
             for i in range(0, n, 10_000):
