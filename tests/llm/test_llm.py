@@ -191,6 +191,32 @@ def test_bands_reject_repetition_and_noise():
     assert quality.compression_ok(b"", compress)[0]
 
 
+def test_bands_see_every_byte_and_noise_of_valid_text(rows):
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    rng = np.random.default_rng(5)
+    texts = [t.encode() for i, t in rows if t and i and i < 900_000 and len(t) > 4_000 and quality.compression_ok(t.encode(), compress)[0]][:20]
+    assert len(texts) == 20
+    noise = {
+        "printable": lambda n: rng.integers(33, 127, n, np.uint8).tobytes(),
+        "base64": lambda n: base64.b64encode(rng.bytes(n))[:n],
+        "letters and digits": lambda n: bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", np.uint8), n)),
+    }
+    for kind, make in noise.items():
+        for n in (200, 500, 1_000, 2_000, 3_000, 30_000):
+            assert not quality.compression_ok(make(n), compress)[0], (kind, n)
+        for t in texts:
+            for n in (500, 1_989):  # in the rest after the last full chunk
+                assert not quality.compression_ok(t[:2_000] + make(n), compress)[0], (kind, n)
+            assert not quality.compression_ok(t[:4_000] + make(2_000), compress)[0], kind  # one full chunk of three
+    for t in texts:
+        for n in (120, 400, 1_999, 2_100, 3_000, len(t)):
+            assert quality.compression_ok(t[:n], compress)[0], n
+    for n in (1, 1_999, 2_000, 2_199, 2_200, 6_100):
+        assert b"".join(quality.chunks_of(bytes(n))) == bytes(n)
+
+
 # ---- 1, 9 -------------------------------------------------------------------------------
 
 
