@@ -4,9 +4,13 @@ Restoring: a token that mixes letters with look-alike signs or repeats a letter
 three times or more, and a run of single letters set apart by spaces or signs, is
 read as the output of a noisy channel. Its lattice has, for each position, the
 letters that may stand behind the sign (or one or two letters for a repeated
-run); Viterbi decoding under a character trigram model picks the likeliest word.
-The trigram model counts the letters of all documents. Plain words are a lattice
-of one path and stay as they are.
+run), and at each separator an optional word break; Viterbi decoding under a
+character trigram model picks the likeliest words; of spaced runs all readings within
+`MARGIN` of the likeliest count. The reading without breaks counts as well, and so do the parts between separators that stand in words otherwise
+unspaced, or that differ from the other separators of a spaced run. A token with two
+or more doubled letters is also read with each of them single. The trigram model
+counts the letters of all documents. Plain words are a lattice of one path and stay
+as they are.
 
 Scoring: an ordered list of rules over the restored text, learned by weighted
 covering. A rule is a whole word or the beginning of a word (3 to 8 letters); its
@@ -43,6 +47,10 @@ LEAST_GAIN = 2.0
 THRESHOLD = 0.7
 LEAST_SCORE = 0.01
 PREFIXES = range(3, 9)
+#: Readings of a spaced run count down to this much (natural logarithm) under the likeliest one.
+MARGIN = 10.0
+#: A longer word inside a spaced run stands with its first letters only (rules on beginnings have at most 8).
+LONGEST = 40
 
 # ---- character model --------------------------------------------------------------------
 
@@ -93,29 +101,41 @@ _SIGNS = re.escape("".join(LOOK_ALIKES))
 _LETTER = r"[^\W\d_]"
 #: Single letters (or signs) three or more, set apart by one space or sign each.
 _SPACED = re.compile(rf"(?<!\w)(?:[^\W_]|[{_SIGNS}])(?:[ .\-_*,/]{{1,2}}(?:{_LETTER}|[{_SIGNS}])(?!\w)){{2,}}")
-_TOKEN = re.compile(r"\S+")
+_UNIT = re.compile(rf"([ .\-_*,/]{{1,2}})({_LETTER}|[{_SIGNS}])(?!\w)")
 _WORD = re.compile(rf"{_LETTER}+")
 _PLAIN = re.compile(rf"[^\w$@€£|+*#!¡%]*{_LETTER}+[\W_]*")
 _REPEAT = re.compile(r"(.)\1\1")
+_DOUBLED = re.compile(r"([^\W_]|[@$])\1")
+_RUN = re.compile(r"(.)\1*")
+#: What stands for no letter ends a part of a token.
+_PART = re.compile(rf"(?:{_LETTER}|[{_SIGNS}])+")
 _TRIM = " .,;:?\"'`)]}[{>~^=&\\/-_"
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest word behind a token: Viterbi over states (last two letters, kept string)."""
+def decode(token: str, model: np.ndarray, breaks: bool = False, single: bool = False) -> str:
+    """The likeliest word behind a token: Viterbi over states (last two letters, kept string).
+
+    breaks: a separator may end a word; the words found are set apart by a blank.
+    single: a doubled letter may stand for one."""
     slots: list[tuple[str, ...]] = []
-    i, n = 0, len(token)
+    i, n, apart = 0, len(token), False
     while i < n:
         c = token[i]
         j = i + 1
         while j < n and token[j] == c:
             j += 1
+        k = j - i
         letters = [c] if c in _INDEX else list(LOOK_ALIKES.get(c, ""))
+        pieces: tuple[str, ...] = ()
         if letters:
             # three or more alike are a stretched single or double letter; one or two stay
-            slots.append(tuple(x * k for x in letters for k in ((1, 2) if j - i > 2 else (j - i,))))
+            pieces = tuple(x * m for x in letters for m in ((1, 2) if k > 2 or single and k == 2 else (k,)))
         elif c.isalpha():
-            slots.append((c * (j - i),))
-        i = j  # other signs inside a token are separators and drop out
+            pieces = (c * k,)
+        if pieces:
+            slots.append(pieces + tuple(" " + x for x in pieces) if breaks and apart and slots else pieces)
+        i = j  # other signs inside a token are separators
+        apart = not pieces
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for slot in slots:
         ahead: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -141,7 +161,8 @@ def restored_words(token: str, model: np.ndarray) -> tuple[str, ...]:
     """Words of one white-space token: as written, and as decoded where it looks disguised."""
     low = token.lower()
     plain = tuple(_WORD.findall(low))
-    if _PLAIN.fullmatch(low) and not _REPEAT.search(low):
+    doubled = sum(1 for _ in _DOUBLED.finditer(low)) > 1
+    if _PLAIN.fullmatch(low) and not doubled and not _REPEAT.search(low):
         return plain
     core = low.strip(_TRIM)
     if not any(c.isalpha() for c in core) and not any(c in LOOK_ALIKES for c in core):
@@ -150,9 +171,94 @@ def restored_words(token: str, model: np.ndarray) -> tuple[str, ...]:
     for form in {core, core.rstrip("!*+$#%|"), core.strip("!*+$#%|(<0123456789")}:
         if form and any(c.isalpha() for c in form):
             out[decode(form, model)] = None
+            parts = _PART.findall(form)
+            if len(parts) > 1:
+                out.update(dict.fromkeys(decode(form, model, breaks=True).split()))
+                for part in parts:  # words without a disguise are in plain
+                    if len(part) > 2 and not part.isalpha() and any(map(str.isalpha, part)):
+                        out[decode(part, model)] = None
+            if doubled:
+                for part in parts:
+                    out[decode(part, model, single=True)] = None
+                    runs = [m.group() for m in _RUN.finditer(part)]
+                    if not any(len(r) % 2 for r in runs):
+                        out[decode("".join(r[: len(r) // 2] for r in runs), model)] = None
     return tuple(w for w in out if w)
 
 
+def _step(state: tuple[int, int], piece: str, model: np.ndarray) -> tuple[tuple[int, int], float]:
+    x, y = state
+    s = 0.0
+    for ch in piece:
+        z = _INDEX.get(ch, 0)
+        s += float(model[x, y, z])
+        x, y = y, z
+    return (x, y), s
+
+
+def likely_words(units: list[str], model: np.ndarray, margin: float) -> set[str]:
+    """Words of all paths through a spaced run that are at most ``margin`` (log) less
+    likely than the best one; each gap is an optional word break."""
+    slots = []
+    for m in _RUN.finditer("".join(units)):
+        letters, k = LOOK_ALIKES.get(m[1], m[1]), m.end() - m.start()
+        slots += [tuple(x * j for x in letters for j in (1, 2))] if k > 2 else [tuple(letters)] * k
+    n = len(slots)
+    before: list[dict] = [{(0, 0): 0.0}]  # best score of a path to a state, by number of slots passed
+    for i, slot in enumerate(slots):
+        ahead: dict[tuple[int, int], float] = {}
+        for state, s in before[i].items():
+            for piece in slot:
+                for lead in ("", " ") if i else ("",):
+                    to, more = _step(state, lead + piece, model)
+                    ahead[to] = max(ahead.get(to, -math.inf), s + more)
+        before.append(ahead)
+    after: list[dict] = [{} for _ in slots] + [{st: float(model[st[0], st[1], 0]) for st in before[n]}]  # best score from a state to the end
+    broken: list[dict] = [{} for _ in slots] + [after[n]]  # the same, with a break at once
+    for i in range(n - 1, -1, -1):
+        for st in before[i]:
+            go = {lead: max(more + after[i + 1][to] for to, more in (_step(st, lead + piece, model) for piece in slots[i])) for lead in (("", " ") if i else ("",))}
+            after[i][st], broken[i][st] = max(go.values()), go.get(" ", -math.inf)
+    least = after[0][0, 0] - margin
+    out = set()
+    for p in range(n):
+        paths: dict[tuple[int, int], tuple[float, str]] = {}
+        for st, s in before[p].items():
+            to, more = _step(st, " ", model) if p else (st, 0.0)
+            paths[to] = max(paths.get(to, (-math.inf, "")), (s + more, ""))
+        for q in range(p, n):
+            if q - p == LONGEST:
+                out.update(word for _, word in paths.values())
+                break
+            ahead = {}
+            for st, (s, word) in paths.items():
+                for piece in slots[q]:
+                    to, more = _step(st, piece, model)
+                    if s + more + after[q + 1][to] >= least:
+                        ahead[to] = max(ahead.get(to, (-math.inf, "")), (s + more, word + piece))
+            paths = ahead
+            if not paths:
+                break
+            out.update(word for st, (s, word) in paths.items() if s + broken[q + 1][st] >= least)
+    return out
+
+
+def spaced_words(run: str, model: np.ndarray) -> set[str]:
+    """Words of a run of single letters: without a break, with breaks where they are
+    likely, and with breaks where the separator is not the run's usual one."""
+    run = run.lower()
+    units, gaps = [run[0]], []
+    for m in _UNIT.finditer(run, 1):
+        gaps.append(m[1])
+        units.append(m[2])
+    out = {decode("".join(units), model), *likely_words(units, model, MARGIN)}
+    usual = Counter(gaps).most_common(1)[0][0]
+    if any(g != usual for g in gaps):
+        words = units[0] + "".join(("" if g == usual else " ") + u for g, u in zip(gaps, units[1:]))
+        out.update(decode(w, model) for w in words.split())
+    return out
+
+
 class Restorer:
     """Words of a restored text, with a bounded memo of tokens."""
 
@@ -165,9 +271,8 @@ class Restorer:
         for w in map(self.memo.__getitem__, set(text.split())):
             out.update(w)
         for m in _SPACED.finditer(text):
-            s = re.sub(r"[ .\-_*,/]", "", m.group().lower())
-            if len(s) > 2:
-                out.add(decode(s, self.model))
+            out.update(spaced_words(m.group(), self.model))
+        out.discard("")
         return out
 
 

@@ -247,6 +247,24 @@ def test_toxicity_catches_disguised_words(spark):
     assert toxicity.fit(toxicity.training_rows(docs, labels.limit(0)), model) == {}
 
 
+def test_toxicity_finds_words_behind_breaks(spark):
+    clean = ["the river runs to the sea", "a quiet morning by the lake", "they read a long book", "rain fell on the hills"]
+    texts = [(i, f"{clean[i % 4]} number {'abcdefghij'[i % 10]}" + (" you blorgit" if i % 5 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.character_model(docs)
+    # the word alone, so that 'you' beside it cannot answer for it
+    score = toxicity._scorer({"=blorgit": 0.9}, model)
+    for t in (
+        "they read a b l o r g i t", "a.b.l.o.r.g.i.t", "y o u b l o r g i t", "t h e b l 0 r g i t", "y o u  b l o r g i t", "y o u / b l o r g i t",
+        "you/bl0rg1t", "you,bl0rg1t", "read,bl0rg!t.", "the-bl0rg1t/sea", "bblloorrggiitt", "BBlloorrggiitt!", "b l o o o r g i t",
+    ):
+        assert score(t) >= toxicity.THRESHOLD, t
+    assert all(score(t) < toxicity.THRESHOLD for t in (*clean, "t h e r i v e r", "book/hills", "the committee's address", "a b c d", "% y.%", "*** a", "a a a a a"))
+    rules = toxicity.fit(toxicity.training_rows(docs, labels), model)
+    assert toxicity._scorer(rules, model)("a b l o r g i t") >= toxicity.THRESHOLD
+
+
 # ---- 6, 10 ------------------------------------------------------------------------------
 
 
