@@ -5,8 +5,9 @@ every candidate string (a run of 20 or more characters of the base64 alphabet) a
 window slides over the characters of one class at a time (hexadecimal, base64);
 its Shannon entropy follows from counts that change by one character in and one
 out per step. Windows at or over the class's threshold are joined to spans.
-Candidates on the allow-list (words without digits, numbers, UUIDs, dates,
-versions, addresses, paths, repeated short units) add nothing. A base span is
+Candidates on the allow-list (words without digits in one case or camel case, also
+between separators, numbers, UUIDs, dates, versions, addresses, paths, repeated short
+units) add nothing; other candidates without digits are keys like any. A base span is
 never suppressed; an entropy span that lies inside a base span is not repeated.
 
 Offsets are code points, the end exclusive. Spans are sorted by start, then kind
@@ -40,7 +41,8 @@ CLASSES = {
     "base64": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.7),
 }
 ALLOWED = tuple(map(re.compile, (
-    r"[^0-9]*",  # no digit: a word or a separator line
+    # no digit: words in one case or camel case, between separators; separator lines
+    r"[+/_=.-]*(?:(?:[a-z]+|[A-Z]+|[A-Z]{0,4}[a-z]*(?:[A-Z][a-z]{2,14})+)(?:[+/_=.-]+|$))*",
     r"[0-9+/_=.-]*",  # numbers, dates, versions, phone numbers
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUIDs
     r"(.{1,6})\1{2,}.?",  # a short unit again and again

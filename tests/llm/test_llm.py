@@ -155,6 +155,20 @@ def test_entropy_spans_and_allow_list():
     assert secrets.redact("") == ""
 
 
+def test_keys_without_digits():
+    rng = np.random.default_rng(11)
+    alphabets = {"letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"}
+    for kind, signs in alphabets.items():
+        for n in (24, 32, 40):
+            keys = ["".join(rng.choice(list(signs), n)) for _ in range(300)]
+            assert sum("[SECRET]" in secrets.redact(f"key {k} and") for k in keys) >= 290, (kind, n)
+    for word in (
+        "schverlicheinpfauung", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "Donaudampfschifffahrtsgesellschaft", "AbstractSingletonProxyFactoryBean",
+        "getUserNameFromRequestContext", "XMLHttpRequestUploadHandler", "the-very-long-hyphenated-name", "=-=-=-=-=-=-=-=-=-=-=-=", "www.Example.com/Path/To/Something",
+    ):
+        assert secrets.scan(word) == ([], []), word
+
+
 @pytest.mark.parametrize("s", ["abababababab", "q7Zx9LmP2vRt8KsW4nBd6HfJ", "q7Zx9-LmP2v.Rt8KsW4nBd6HfJ1cYgaaaaaaaaaaaaaaaa"])
 def test_incremental_entropy_equals_recount(s):
     members, size, least = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 8, 2.4
