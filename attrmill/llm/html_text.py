@@ -7,8 +7,10 @@ aligned with it by simple tree matching (the largest number of node pairs that k
 order and ancestry). A node whose text is the same on all pages that have it, at
 least `LEAST_PAGES` different ones, is template; varying nodes are slots. Main text
 is the slots' text: elements that HTML itself marks as no main text (menus,
-forms, scripts, side notes, and class names that say so) are left out, and where a
-page has an article or main element, only that counts.
+forms, scripts, side notes, and whole class names or ids that say so) are left out; the
+article or main element with most text, what is around it, and the body are never left
+out by class name. Where articles hold `LEAST_SHARE` of the text of main (or of the page
+without one), only they count; else, where main holds that share of the page, only main.
 
 Wrappers are joined to their pages; they are broadcast only if all of them together are
 at most `WRAPPER_BYTES`.
@@ -37,6 +39,7 @@ from attrmill.llm.common import Memo, Workspace, arrow_stage
 
 LEAST_PAGES = 3
 WRAPPER_BYTES = 8_000_000
+LEAST_SHARE = 1 / 3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
@@ -50,28 +53,41 @@ SKIP = frozenset(
 #: Start tags that end an open paragraph, and those that end an open element of the given kinds.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("html body article section main div ul ol dl table blockquote td th header footer nav aside form figure".split())
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|sidebar|side"
-    r"|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|footer|header|masthead|widget|toolbar|skip)(?:$|[\s_-])"
-)
+_NOISE_WORD = (
+    r"(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|sidebar|side"
+    r"|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|footer|header|masthead|widget|toolbar|skip)"
+)
+#: Words that leave the sense of a noise word as it is ('site-footer', 'sidebar-left', 'ad-3'); any other word changes it ('no-sidebar').
+_NEUTRAL = r"(?:site|main|page|global|top|bottom|left|right|primary|secondary|mobile|desktop|box|bar|list|links?|items?|area|block|section|wrap|wrapper|container|inner|outer|\d+)"
+_NOISE = re.compile(rf"(?:{_NEUTRAL}[_-]+)*{_NOISE_WORD}\d*(?:[_-]+(?:{_NEUTRAL}|{_NOISE_WORD}))*")
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f\v  -     　]+")
 
 
+@functools.lru_cache(10_000)
+def noise_name(names: str) -> bool:
+    return any(map(_NOISE.fullmatch, names.split()))
+
+
 class Node:
-    __slots__ = ("tag", "sign", "noise", "kids")
+    __slots__ = ("tag", "sign", "noise", "by_name", "kids")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag, self.kids = tag, []
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
+        found: dict[str, str] = {}
+        for m in _ATTR.finditer(attrs) if attrs else ():
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # of two alike the first counts
         names = f"{found.get('class', '')} {found.get('id', '')}".lower().strip()
         self.sign = tag + ("." + re.sub(r"\d+", "", names) if names else "")
         self.noise = (
             tag in SKIP or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-            or found.get("role", "").lower() in _NOISE_ROLES or bool(names and _NOISE.search(names))
+            or found.get("role", "").lower() in _NOISE_ROLES
         )
+        #: noise by nothing but its names
+        self.by_name = not self.noise and bool(names) and tag not in ("html", "body", "main") and noise_name(names)
+        self.noise = self.noise or self.by_name
 
 
 def parse(text: str) -> Node:
@@ -230,6 +246,24 @@ def _main(node: Node, tag: str) -> list[Node]:
     return out
 
 
+def keep_longest(root: Node) -> None:
+    """The article or main with most text, and what is around it, are no noise by name."""
+    best: tuple[int, list[Node]] = (0, [])
+
+    def chars(node: Node, above: list[Node]) -> int:
+        nonlocal best
+        above = [*above, node] if node.by_name or node.tag in ("article", "main") else above
+        n = sum(len(k.strip()) if isinstance(k, str) else chars(k, above) for k in node.kids if isinstance(k, str) or not k.noise or k.by_name)
+        if node.tag in ("article", "main") and n > best[0]:
+            best = n, above
+        return n
+
+    chars(root, [])
+    for node in best[1]:
+        if node.by_name:
+            node.noise = node.by_name = False
+
+
 def blocks_of(node: Node, template: set[int], inside: bool) -> list[str]:
     """Main-text blocks below a node; ``inside`` is true within an article or main element."""
     out: list[str] = []
@@ -274,11 +308,21 @@ def main_text(text: str, reference: list | None = None, constant: frozenset[str]
                 for i in path:
                     f = f.kids[i]
                 template.update(map(id, f.nodes))
-    for tag in ("article", "main"):
-        found = _main(root, tag)
-        if found:
-            return "\n\n".join(b for n in found for b in blocks_of(n, template, True))
-    return "\n\n".join(blocks_of(root, template, False))
+    keep_longest(root)
+    main, articles = _main(root, "main"), _main(root, "article")
+    page = blocks_of(root, template, False)
+    if not main and not articles:
+        return "\n\n".join(page)
+    around = [page]
+    if main:
+        around.append([b for n in main for b in blocks_of(n, template, True)])
+    if articles:
+        around.append([b for n in articles for b in blocks_of(n, template, True)])
+    chosen = around[0]
+    for inner in around[1:]:
+        if sum(map(len, inner)) >= LEAST_SHARE * sum(map(len, chosen)):
+            chosen = inner
+    return "\n\n".join(chosen)
 
 
 # ---- Spark ------------------------------------------------------------------------------

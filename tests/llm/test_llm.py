@@ -294,6 +294,22 @@ def test_template_is_left_out_and_slots_stay(spark):
     assert (got[10], got[11], got[12]) == ("a", "", "")
 
 
+def test_main_text_is_not_lost_to_attributes_and_names():
+    long = "One sentence of the text. " * 8
+    for tag in (
+        'p style="overflow:hidden"', 'p><a href="/hidden-gems"', "p title='hidden'", "p data-role=menu", 'p id="x" width=3', "div class=no-sidebar", 'div class="x with-sidebar"',
+        "div class=comments-open", "div id=related-work", "div data-class=ad", 'div title="class=ad"',
+    ):
+        assert html_text.main_text(f"<body><div><{tag}>{long}</div>") == long.strip(), tag
+    for tag in ("div class=ad", "div class='x sidebar'", "div id=site-footer", "p hidden", "p hidden=''", "p aria-hidden=true", "p role=menu", "div class=ad-3"):
+        assert html_text.main_text(f"<body><div><p>kept</p><{tag}>{long}") == "kept", tag
+    assert html_text.main_text(f"<body class=sidebar><div class=social><article class=related><p>{long}</article></div>") == long.strip()
+    teaser = "<article><p>Teaser</article>"
+    assert long.strip() in html_text.main_text(f"<body>{teaser}<main><p>{long}</main>")
+    assert long.strip() in html_text.main_text(f"<body><p>{long}</p>{teaser}")
+    assert html_text.main_text(f"<body><main><article><p>{long}</article><p>after</main><div class=sidebar>{teaser}</div><p>rest") == long.strip()
+
+
 def test_article_of_the_pages_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in html_text.extract(pages).join(pages, ["page_id", "url"]).collect():
