@@ -131,9 +131,10 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, **rule) -> DataFrame:
     """All documents, their texts without the dropped lines (texts that lose none are unchanged)."""
-    cut = apply_bitmaps(docs, keep_bitmaps(docs, **rule))
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    cut = apply_bitmaps(rows, keep_bitmaps(docs, **rule))
     text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col("_dropped")))
-    return cut.withColumn("text", text).select(*docs.columns)
+    return cut.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, **rule) -> DataFrame:
