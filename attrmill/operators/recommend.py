@@ -75,11 +75,10 @@ def did_you_mean(queries: DataFrame, vocabulary: DataFrame, n: int = 3, cutoff=(
     """Per query name: known=true if in the vocabulary; else up to n closest names
     with ratio 2*LCS/(|a|+|b|) >= cutoff (default 0.6), best first, ties to the larger name.
 
-    Candidates come from the exact deletion-variant equi-join (no cross join);
+    Candidates come from the exact signature join on shared letters (no cross join);
     the top n per query come from a window over that query's candidates.
     Output: (query, known, suggestions ARRAY<STRING>; null when nothing is close).
     """
-    from attrmill.functions import text as X
     from attrmill.plans.similarity_join import ratio_cutoff_pairs
 
     q = queries.select(F.col(queries.columns[0]).alias("query")).distinct()
@@ -87,7 +86,7 @@ def did_you_mean(queries: DataFrame, vocabulary: DataFrame, n: int = 3, cutoff=(
     hits = q.join(voc.withColumnRenamed("word", "query"), "query", "left_semi")
     misses = q.join(hits, "query", "left_anti")
     cand = ratio_cutoff_pairs(misses, voc, *cutoff)
-    score = F.lit(2.0) * X.lcs_udf("query", "word") / (F.length("query") + F.length("word"))
+    score = F.lit(2.0) * F.col("lcs") / (F.length("query") + F.length("word"))
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("word").desc())
     top = (
         cand.withColumn("score", score)

@@ -43,11 +43,11 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-WORD_PATTERN = "[A-Za-z]{3,}"
+WORD_PATTERN = r"\p{L}+"
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as samples, each distinct ASCII word of 3+ letters as attribute.
+    """Documents as samples, each distinct word (run of letters) as attribute.
 
     Whole texts are tokenised; the word is kept in its original case.
     """

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import duckdb
+import pytest
 
 from attrmill.functions.text import lcs_length
 from attrmill.plans import similarity_join as S
@@ -20,7 +21,7 @@ def test_signature_join_equals_brute_force(spark):
         "select distinct unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) from '/root/testdata/sf0.001/documents.parquet'"
     ).fetchall()]
     rnd = random.Random(11)
-    sample = rnd.sample(sorted(words), 1500) + ["frozenDessertFrequency", "frozenDesertFrequency", "serovar", "sex"]
+    sample = rnd.sample(sorted(words), 800) + ["frozenDessertFrequency", "frozenDesertFrequency", "serovar", "sex"]
     voc = spark.createDataFrame([(w,) for w in sample], "attribute string")
     got = {(r.attribute1, r.attribute2) for r in S.similar_pairs(voc).collect()}
     assert got == _brute(sample)
@@ -28,6 +29,52 @@ def test_signature_join_equals_brute_force(spark):
     assert ("serovar", "sex") not in got
 
 
+def _names(n, seed, low=3, high=60):
+    """Names of words that many share, with near copies a few letters apart."""
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choice("abcdeghilmnoprstuäé_ 01") for _ in range(rnd.randint(2, 9))) for _ in range(60)]
+    out = set()
+    while len(out) < n:
+        name = "_".join(rnd.choice(words) for _ in range(rnd.randint(1, 9)))[: rnd.randint(low, high)]
+        out.add(name)
+        for _ in range(rnd.randint(0, 2)):
+            chars = list(name)
+            for _ in range(rnd.randint(1, max(1, len(chars) // 6))):
+                at = rnd.randrange(len(chars))
+                if rnd.random() < 0.5:
+                    chars.insert(at, rnd.choice("abcx"))
+                elif len(chars) > 1:
+                    del chars[at]
+            out.add("".join(chars))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("min_score,short", [(80, S.SHORT), (80, 0), (70, 6), (55, 0)])
+def test_long_and_short_names_equal_brute_force(spark, min_score, short):
+    names = _names(320, min_score) + ["a", "aa", "aaa", "aaaa", "abab" * 12, "baba" * 12, "ab" * 30, "x" * 60, "x" * 50, "ä" * 13, "ä" * 12]
+    voc = spark.createDataFrame([(w,) for w in [*names, None, ""]], "attribute string")
+    rows = S.similar_pairs(voc, min_score, short=short).collect()
+    assert len(rows) == len({(r.attribute1, r.attribute2) for r in rows})
+    assert {(r.attribute1, r.attribute2) for r in rows} == _brute(names, min_score)
+    for r in rows:
+        x, d = 200 * lcs_length(r.attribute1, r.attribute2), len(r.attribute1) + len(r.attribute2)
+        assert r.levenshtein == round(x / d) and r.levenshtein > min_score
+
+
+@pytest.mark.parametrize("num,den", [(3, 5), (4, 5), (1, 1)])
+def test_ratio_join_equals_brute_force(spark, num, den):
+    names = _names(260, 5)
+    left, right = names[::7] + ["abc", "unknown thing"], names[::2]
+    frame = lambda ws: spark.createDataFrame([(w,) for w in ws], "w string")
+    got = sorted((r.query, r.word, r.lcs) for r in S.ratio_cutoff_pairs(frame(left), frame(right), num, den).collect())
+    want = [(a, b, lcs_length(a, b)) for a in set(left) for b in set(right) if a != b and 2 * den * lcs_length(a, b) >= num * (len(a) + len(b))]
+    assert got == sorted(want)
+
+
+def test_empty_vocabulary(spark):
+    assert S.similar_pairs(spark.createDataFrame([], "attribute string")).count() == 0
+
+
 def test_exemption_and_nucleotides(spark):
     pairs = spark.createDataFrame(
         [("gut", "guta", 86), ("cat", "cart", 86), ("vioscreen_a", "vioscreen_b", 91)],
