@@ -9,7 +9,9 @@ from attrmill.catalog import SQL_ATTRS, SQL_COEXIST, SQL_EDGES_RAW, SQL_NSAMPLES
 from attrmill.catalog_lexical import SQL_SIMILAR_BASKETS
 from attrmill.operators import coexist as C
 from attrmill.operators import lexical as L
+from attrmill.operators import stats as B
 from attrmill.plans import similarity_join as S
+from attrmill.sources import adapters as A
 
 # Pair spine: the baskets candidate pairs with good/bad polarity by frequency.
 SQL_PAIRS = (
@@ -92,6 +94,18 @@ def q_pair_break_numbers(spark, sf_dir):
     return f.select("name", "break_no_lower", "break_no_upper", "break_no", "break_no_exact", r6("attribute_sim"))
 
 
+@register("word_graph_break_numbers")
+def q_word_graph_break_numbers(spark, sf_dir):
+    """C5/C6 on the sparse graph of words that share a benchmark item, where most bounds differ and the flow runs
+    (no SQL twin; tested against brute force)."""
+    sa = A.item_words(spark, sf_dir)
+    attributes = B.attribute_frequency(sa)
+    weights = B.cooccurrence_weights(B.cooccurrence(sa), attributes, B.sample_total(sa))
+    pairs = L.polarity(S.candidate_pairs(attributes).select("attribute1", "attribute2", "levenshtein", "name"), attributes)
+    f = C.graph_features(pairs, B.symmetric_edges(weights))
+    return f.select("name", "degree_bad", "degree_good", "break_no_lower", "break_no_upper", "break_no", r6("attribute_sim"))
+
+
 @register(
     "pairs_missing_from_graph",
     SQL_PAIRS

@@ -101,7 +101,8 @@ def graph_features(pairs: DataFrame, edges: DataFrame, exact_break_no: bool = Tr
     )
     out = connectivity.break_numbers(out, edges) if exact_break_no else out.withColumn(
         "break_no", F.when(F.col("break_no_lower") == F.col("break_no_upper"), F.col("break_no_lower"))
-    ).withColumn("break_no_exact", F.col("break_no").isNotNull())
+    )
+    out = out.withColumn("break_no_exact", F.col("break_no").isNotNull())
     return out.withColumn(
         "attribute_sim", F.when(F.col("edge_total") > 0, F.col("break_no") * 2.0 / F.col("edge_total"))
     )

@@ -2,116 +2,139 @@
 i.e. the largest number of internally node-disjoint paths, a direct edge counting as one.
 
 Plan:
-(a) bounds from joins: lower = adjacent + |common neighbours| (those paths are
-    always part of some maximum set), upper = min(degree); equal bounds are exact;
-(b) only the remaining pairs go to an augmenting-path max-flow on the split-node
-    graph, run in `mapInPandas` over the pairs (spread over tasks). The adjacency
-    is shipped to the tasks only after its edge count is checked against
-    `max_broadcast_edges`; above that, those pairs keep their bounds and
-    `break_no_exact = false` (reported, never silently dropped).
+(a) bounds from joins: lower = adjacent + |common neighbours| (those paths are part of some
+    largest set), upper = min(degree); equal bounds are exact;
+(b) all other pairs grow augmenting paths together, as joins. Without the direct edge and the
+    common neighbours, a pair's flow is a table of arcs (pair, u, v). A phase is a breadth-first
+    search of all open pairs at once over rows (pair, node, side): a node that no path uses is
+    entered and left freely; a used one, entered, can only be left backwards along its path
+    (side ``in``), and from there (side ``out``) anywhere, or further back. Every state belongs
+    to the first root (neighbour of the start) that claims it, so the paths that reach the end
+    from different roots share no state and are all taken at once. A pair is finished when its
+    flow meets the upper bound or a phase finds no path: its flow is largest.
+
+Every round is one equi-join on the node and one anti-join on (pair, node, side); its result is
+checkpointed in the shared folder. No graph is collected or broadcast, no size switches it off.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-MAX_BROADCAST_EDGES = 5_000_000
-
-
-class SplitGraph:
-    """Unit-capacity split-node graph of an undirected adjacency: node v becomes
-    v_in = 2i -> v_out = 2i+1, each edge {u, w} becomes u_out -> w_in and w_out -> u_in.
-    Built once per task; each query keeps its own flow on top of it."""
-
-    def __init__(self, adj: dict):
-        self.index = {v: i for i, v in enumerate(adj)}
-        fwd: dict[int, list[int]] = {}
-        rev: dict[int, list[int]] = {}
-
-        def arc(a, b):
-            fwd.setdefault(a, []).append(b)
-            rev.setdefault(b, []).append(a)
-
-        for v, i in self.index.items():
-            arc(2 * i, 2 * i + 1)
-        for u, nbrs in adj.items():
-            iu = self.index[u]
-            for w in nbrs:
-                if w in self.index and w != u:
-                    arc(2 * iu + 1, 2 * self.index[w])
-        self.fwd, self.rev = fwd, rev
-
-    def max_paths(self, s, t, upper: int | None = None) -> int:
-        if s == t or s not in self.index or t not in self.index:
-            return 0
-        src, snk = 2 * self.index[s] + 1, 2 * self.index[t]
-        flow: set[tuple[int, int]] = set()  # base arcs carrying one unit
-        total = 0
-        while upper is None or total < upper:
-            parent = {src: None}
-            q = deque([src])
-            while q and snk not in parent:
-                x = q.popleft()
-                for y in self.fwd.get(x, ()):
-                    if y not in parent and (x, y) not in flow:
-                        parent[y] = x
-                        q.append(y)
-                for y in self.rev.get(x, ()):
-                    if y not in parent and (y, x) in flow:
-                        parent[y] = x
-                        q.append(y)
-            if snk not in parent:
-                break
-            y = snk
-            while parent[y] is not None:
-                x = parent[y]
-                if (y, x) in flow:
-                    flow.discard((y, x))
-                else:
-                    flow.add((x, y))
-                y = x
-            total += 1
-        return total
-
-
-def node_disjoint_paths(adj: dict, s, t) -> int:
-    """Max number of internally node-disjoint s-t paths (direct edge counts once)."""
-    return SplitGraph(adj).max_paths(s, t)
-
-
-def break_numbers(features: DataFrame, edges: DataFrame, max_broadcast_edges: int = MAX_BROADCAST_EDGES) -> DataFrame:
-    """Add break_no and break_no_exact to a frame with break_no_lower/upper and the two attributes."""
+
+from attrmill.session import cut_lineage
+
+#: A state of the search: the path's steps so far are arcs (u, v), put on the flow or taken off.
+_STATE = ["name", "s", "t", "node", "side", "root", "path"]
+
+
+def _arc(u: Column, v: Column, add: bool) -> Column:
+    return F.struct(u.cast("string").alias("u"), v.cast("string").alias("v"), F.lit(add).alias("add"))
+
+
+def _enter(moves: DataFrame, used: DataFrame) -> DataFrame:
+    """Moves along edges into ``node``: free for nodes off all paths, else ``in``."""
+    hit = used.select("name", F.col("v").alias("node"), F.lit(True).alias("_used"))
+    side = F.when(F.col("_used"), "in").otherwise("free")
+    return moves.join(hit, ["name", "node"], "left").withColumn("side", side).select(_STATE)
+
+
+def _next_states(frontier: DataFrame, edges: DataFrame, flow: DataFrame, used: DataFrame) -> DataFrame:
+    at = frontier.withColumnRenamed("node", "at")
+    leave = at.where(F.col("side") != "in").join(edges.select(F.col("src").alias("at"), F.col("dst").alias("node")), "at")
+    leave = leave.where((F.col("node") != F.col("s")) & (F.col("node") != F.col("t")))
+    leave = leave.join(flow.select("name", F.col("u").alias("at"), F.col("v").alias("node")), ["name", "at", "node"], "left_anti")
+    forward = _enter(leave.withColumn("path", F.concat("path", F.array(_arc(F.col("at"), F.col("node"), True)))), used)
+    inside = frontier.where(F.col("side") == "out").withColumn("side", F.lit("in"))  # back through the node itself
+    back = at.where(F.col("side") == "in").join(used.select("name", F.col("v").alias("at"), F.col("u").alias("node")), ["name", "at"])
+    back = back.where(F.col("node") != F.col("s")).withColumn("path", F.concat("path", F.array(_arc(F.col("node"), F.col("at"), False))))
+    return forward.unionByName(inside.select(_STATE)).unionByName(back.withColumn("side", F.lit("out")).select(_STATE))
+
+
+def _claim(states: DataFrame, seen: DataFrame) -> DataFrame:
+    """New states, each for one root."""
+    fresh = states.join(seen.select("name", "node", "side"), ["name", "node", "side"], "left_anti")
+    first = F.min(F.struct("root", "path"))
+    return fresh.groupBy("name", "s", "t", "node", "side").agg(first.alias("f")).select("name", "s", "t", "node", "side", "f.root", "f.path")
+
+
+def _mark_arrived(states: DataFrame, edges: DataFrame, flow: DataFrame) -> DataFrame:
+    """States with ``arrived``: whether the end is the next step."""
+    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("t"), F.lit(True).alias("_near"))
+    taken = flow.select("name", F.col("u").alias("node"), F.col("v").alias("t"), F.lit(True).alias("_taken"))
+    near = states.join(ends, ["node", "t"], "left").join(taken, ["name", "node", "t"], "left")
+    arrived = (F.col("side") != "in") & F.col("_near").isNotNull() & F.col("_taken").isNull()
+    return near.select(*_STATE, arrived.alias("arrived"))
+
+
+def _whole_paths(states: DataFrame) -> DataFrame:
+    """(name, root, path) of the states that arrived, one a root, the last arc included."""
+    full = F.concat("path", F.array(_arc(F.col("node"), F.col("t"), True)))
+    return states.where("arrived").withColumn("path", full).groupBy("name", "root").agg(F.min("path").alias("path"))
+
+
+def disjoint_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, paths): the largest number of node-disjoint paths from ``s`` to ``t`` of each row of
+    pairs (name, s, t, most) that use neither the direct edge nor common neighbours; ``most`` is
+    an upper bound of it. ``edges`` is symmetric: (src, dst)."""
+    edges = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
+    pairs = cut_lineage(pairs.select("name", "s", "t", "most"))
+    near_s = pairs.join(edges.withColumnRenamed("src", "s"), "s").select("name", "s", "t", F.col("dst").alias("node"))
+    near_t = pairs.join(edges.withColumnRenamed("src", "t"), "t").select("name", F.col("dst").alias("node"))
+    common = near_s.join(near_t, ["name", "node"], "left_semi").select("name", "node")
+    sides = F.explode(F.array(F.lit("free"), F.lit("in"), F.lit("out"))).alias("side")
+    blocked = cut_lineage(common.select("name", "node", sides))
+    starts = cut_lineage(near_s.where(F.col("node") != F.col("t")).join(common, ["name", "node"], "left_anti"))
+
+    flow = cut_lineage(pairs.limit(0).select("name", F.col("s").cast("string").alias("u"), F.col("t").cast("string").alias("v")))
+    missing = pairs.select("name", F.col("most").alias("left"))
+    open_ = starts
+    while not open_.isEmpty():
+        used = flow.join(pairs.select("name", "t"), "name").where(F.col("v") != F.col("t")).select("name", "u", "v")
+        roots = open_.join(flow.select("name", F.col("u").alias("s"), F.col("v").alias("node")), ["name", "s", "node"], "left_anti")
+        roots = roots.select("*", F.col("node").alias("root"), F.array(_arc(F.col("s"), F.col("node"), True)).alias("path"))
+        frontier = cut_lineage(_enter(roots, used))
+        seen, found = blocked.unionByName(frontier.select("name", "node", "side")), None
+        while not frontier.isEmpty():
+            states = cut_lineage(_mark_arrived(_claim(_next_states(frontier, edges, flow, used), seen), edges, flow))
+            here = _whole_paths(states)
+            found = here if found is None else found.unionByName(here)
+            # a root has one path, a pair no more than it lacks; its other roots go on while they arrive
+            counts = found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(here.select("name", F.lit(True).alias("new")).distinct(), "name", "left")
+            enough = counts.join(missing, "name").where("new is null or n >= left").select("name")
+            frontier = states.drop("arrived").join(found.select("name", "root"), ["name", "root"], "left_anti").join(enough, "name", "left_anti")
+            seen = seen.unionByName(states.select("name", "node", "side"))
+        if found is None:
+            break
+        found = cut_lineage(found)
+        arcs = found.select("name", F.explode("path").alias("a")).select("name", "a.*")
+        kept = flow.join(arcs.where("not add").select("name", "u", "v"), ["name", "u", "v"], "left_anti")
+        flow = cut_lineage(kept.unionByName(arcs.where("add").select("name", "u", "v")))
+        gain = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+        missing = cut_lineage(missing.join(gain, "name").select("name", (F.col("left") - F.col("n")).alias("left")).where("left > 0"))
+        open_ = cut_lineage(open_.join(missing, "name", "left_semi"))
+    out = flow.join(pairs.select("name", "s"), "name").where(F.col("u") == F.col("s")).groupBy("name").agg(F.count(F.lit(1)).cast("int").alias("paths"))
+    return pairs.select("name").join(out, "name", "left").select("name", F.coalesce("paths", F.lit(0)).alias("paths"))
+
+
+def break_numbers(features: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds break_no to a frame with name, bad_attribute, good_attribute, degree_bad, degree_good,
+    break_no_lower and break_no_upper."""
+    features = cut_lineage(features)
     tight = F.col("break_no_lower") == F.col("break_no_upper")
-    done = features.where(tight).withColumn("break_no", F.col("break_no_lower")).withColumn("break_no_exact", F.lit(True))
+    done = features.where(tight).withColumn("break_no", F.col("break_no_lower").cast("int"))
     rest = features.where(~tight)
-    n_edges = edges.count()
-    if n_edges > max_broadcast_edges:
-        open_ = rest.withColumn("break_no", F.lit(None).cast("int")).withColumn("break_no_exact", F.lit(False))
-        return done.unionByName(open_)
-    spark = features.sparkSession
-    adj: dict = {}
-    for r in edges.select("src", "dst").toLocalIterator():
-        adj.setdefault(r[0], set()).add(r[1])
-    bc = spark.sparkContext.broadcast(adj)
-    schema = T.StructType(list(rest.schema.fields) + [T.StructField("break_no", T.IntegerType()), T.StructField("break_no_exact", T.BooleanType())])
-
-    def solve(batches):
-        graph = SplitGraph(bc.value)
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf["break_no"] = [
-                graph.max_paths(b, g, int(u)) for b, g, u in zip(pdf["bad_attribute"], pdf["good_attribute"], pdf["break_no_upper"])
-            ]
-            pdf["break_no_exact"] = True
-            yield pdf
-
-    solved = rest.mapInPandas(solve, schema)
-    return done.unionByName(solved)
+    first = F.col("degree_bad") <= F.col("degree_good")  # the search starts at the end with fewer edges
+    ends = rest.select(
+        "name",
+        F.when(first, F.col("bad_attribute")).otherwise(F.col("good_attribute")).alias("s"),
+        F.when(first, F.col("good_attribute")).otherwise(F.col("bad_attribute")).alias("t"),
+        (F.col("break_no_upper") - F.col("break_no_lower")).alias("most"),
+    )
+    solved = rest.join(disjoint_paths(ends, edges), "name").withColumn("break_no", (F.col("break_no_lower") + F.col("paths")).cast("int"))
+    return done.unionByName(solved.select(done.columns))
 
 
 def brute_force_connectivity(adj: dict, s, t) -> int:

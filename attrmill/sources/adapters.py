@@ -59,6 +59,14 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.distinct().withColumn("value", F.lit(None).cast("string"))
 
 
+def item_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as samples, each distinct word as attribute: a sparse graph, as few items share words."""
+    items = read_table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("sample_id"), F.explode(F.regexp_extract_all("text", F.lit(WORD_PATTERN), 0)).alias("attribute")
+    )
+    return items.distinct().withColumn("value", F.lit(None).cast("string"))
+
+
 # Columns unpivoted by `column_values`: (table, column, kind).
 COLUMN_VALUE_SOURCES = [
     ("lineitem", "l_quantity", "number"),
