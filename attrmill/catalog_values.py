@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from attrmill.catalog import SQL_BASKETS, r6, register
 from attrmill.operators import values as V
+from attrmill.session import cut_lineage
 from attrmill.sources import adapters as A
 
 COLUMN_ATTRIBUTES = sorted(f"{t}.{c}" for t, c, _ in A.COLUMN_VALUE_SOURCES)
@@ -162,7 +163,7 @@ def _features_out(f):
     "WITH " + sql_column_values() + ", vals AS (SELECT * FROM colvals)," + sql_typed("colvals") + "," + sql_pairs_fixed() + "," + SQL_FEATURES,
 )
 def q_value_features(spark, sf_dir):
-    vals = A.column_values(spark, sf_dir)
+    vals = cut_lineage(A.column_values(spark, sf_dir))
     pairs = column_pairs(spark, V.value_type_profile(vals))
     return _features_out(V.value_features(pairs, vals, fuzzy=False))
 
@@ -208,8 +209,7 @@ def _sql_hamming(a: str, b: str) -> str:
 
 
 SQL_FUZZY = f"""
-capped AS (SELECT attribute, value FROM (
-  SELECT attribute, value, row_number() OVER (PARTITION BY attribute ORDER BY n DESC, value) AS r FROM colvals) WHERE r <= 1000),
+capped AS (SELECT attribute, value FROM colvals),
 need AS (SELECT name, good_attribute, bad_attribute FROM vf
          WHERE type_match NOT IN ('numeric match', 'date match')),
 sizes AS (SELECT n.name, n.good_attribute, n.bad_attribute,
@@ -219,9 +219,8 @@ roles AS (SELECT name, CASE WHEN s1 > s2 THEN bad_attribute ELSE good_attribute
                        CASE WHEN s1 > s2 THEN good_attribute ELSE bad_attribute END AS long_attr FROM sizes),
 combos AS (SELECT r.name, a.value AS v, b.value AS w, jaro_winkler_similarity(a.value, b.value) AS jw
            FROM roles r JOIN capped a ON a.attribute = r.short_attr JOIN capped b ON b.attribute = r.long_attr),
-best AS (SELECT name, v, arg_max(w, (CASE WHEN v = w THEN 2.0 ELSE jw END, -rank_w)) AS w,
-                max(CASE WHEN v = w THEN 1.0 ELSE jw END) AS jw
-         FROM (SELECT *, dense_rank() OVER (PARTITION BY name, v ORDER BY w) AS rank_w FROM combos) GROUP BY name, v),
+best AS (SELECT name, v, m.w AS w, -m.s AS jw FROM (
+         SELECT name, v, min({{'s': CASE WHEN v = w THEN -1.0 ELSE -jw END, 'w': w}}) AS m FROM combos GROUP BY name, v)),
 scored AS (SELECT name, jw, CAST(damerau_levenshtein(v, w) AS DOUBLE) AS dl, CAST({_sql_hamming('v', 'w')} AS DOUBLE) AS hm FROM best)
 SELECT name,
   round(avg(jw), 6) AS jaro_mean, round(stddev_samp(jw), 6) AS jaro_std, round(quantile_cont(jw, 0.9), 6) AS jaro_q90,
@@ -230,6 +229,32 @@ SELECT name,
   round(avg(hm), 6) AS hamming_mean, round(stddev_samp(hm), 6) AS hamming_std, round(quantile_cont(hm, 0.9), 6) AS hamming_q90
 FROM scored GROUP BY name"""
 
+SQL_FUZZY_CTES, _, SQL_FUZZY_STATS = SQL_FUZZY.rpartition("\nSELECT name,\n")
+_SIDES = [f"{x}_{t}" for t in ("numeric", "string", "date") for x in ("n", "ratio")] + ["no_unique_values", "top_value"]
+
+
+def _sql_feature_rows() -> str:
+    """The whole feature row, the value features joined with the fuzzy score and both profiles."""
+    ctes, _, features = SQL_FEATURES.partition("\nSELECT m.name")
+    cell = lambda c, side: f"round({side}.{c}, 6)" if c.startswith("ratio") else f"{side}.{c}"
+    both = [f"{cell(c, s[0])} AS {c}_{s}" for s in ("good", "bad") for c in _SIDES]
+    return (
+        "WITH " + sql_column_values() + ", vals AS (SELECT * FROM colvals)," + sql_typed("colvals") + "," + sql_pairs_fixed() + "," + ctes + "," + SQL_FUZZY_CTES
+        + ",\nfz AS (SELECT name, quantile_cont(jw, 0.9) AS q FROM scored GROUP BY name),\nbase AS (SELECT m.name" + features + ")\n"
+        + "SELECT x.*, round(fz.q, 6) AS jaro_score, " + ", ".join(both)
+        + " FROM base x JOIN profr g ON x.good_attribute = g.attribute JOIN profr b ON x.bad_attribute = b.attribute LEFT JOIN fz ON fz.name = x.name"
+    )
+
+
+@register("value_feature_rows", _sql_feature_rows())
+def q_value_feature_rows(spark, sf_dir):
+    vals = cut_lineage(A.column_values(spark, sf_dir))
+    f = V.value_features(column_pairs(spark, V.value_type_profile(vals)), vals)
+    cell = lambda c: r6(c) if c.startswith(("ratio", "exact")) else F.col(c)
+    names = ["name", "good_attribute", "bad_attribute", "type_match", "exact_score", "roughly_equivalent", "magnitude_difference"]
+    both = [f"{c}_{s}" for s in ("good", "bad") for c in _SIDES]
+    return f.select(*[cell(c) for c in names], r6("jaro_score"), *[cell(c) for c in both])
+
 
 @register(
     "fuzzy_value_scores",
@@ -245,12 +270,12 @@ FROM scored GROUP BY name"""
     + SQL_FUZZY,
 )
 def q_fuzzy_value_scores(spark, sf_dir):
-    vals = A.column_values(spark, sf_dir)
+    vals = cut_lineage(A.column_values(spark, sf_dir))
     prof = V.value_type_profile(vals)
     pairs = column_pairs(spark, prof)
     f = V.value_features(pairs, vals, fuzzy=False)
-    need = f.where(~F.col("type_match").isin("numeric match", "date match")).select("name", "good_attribute", "bad_attribute")
-    out = V.best_value_matches_stats(need, V.top_values_cap(vals))
+    need = cut_lineage(f.where(~F.col("type_match").isin("numeric match", "date match")).select("name", "good_attribute", "bad_attribute"))
+    out = V.best_value_matches_stats(need, vals)
     return out.select("name", *[r6(c) for c in out.columns if c != "name"])
 
 

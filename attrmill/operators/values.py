@@ -3,19 +3,21 @@
 Input is the long form attr_values(attribute, value, n). Value typing and the
 per-attribute profile are computed once per attribute (not per pair) with
 conditional aggregation; exact overlap is a join of the two value sets on the
-value; fuzzy matching runs per pair in a grouped pandas task whose input is
-bounded by the top-1000 cap on each side.
+value. Fuzzy matching takes every value of both sides: blocks of the shorter list
+meet blocks of the longer one, spread over all tasks, and each value's best match
+of a block is found behind an upper bound of Jaro-Winkler; the blocks' winners meet
+in an aggregation per (pair, value).
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attrmill.functions.distances import char_positions, damerau_levenshtein, hamming, jaro_winkler_indexed
+from attrmill.functions.distances import ValueBlock, damerau_levenshtein, hamming
+from attrmill.session import cut_lineage
 
 # A number as Python's float() reads it (sign, digits with optional underscores between
 # digits, fraction, exponent, inf/nan words), surrounding whitespace allowed.
@@ -162,48 +164,76 @@ def exact_score(pairs: DataFrame, attr_values: DataFrame, profile: DataFrame) ->
     return shared
 
 
-def best_value_matches_stats(pairs: DataFrame, capped: DataFrame) -> DataFrame:
-    """V10 + V11 per pair, in one grouped pandas task per pair (input <= 2 x cap rows).
+#: Values of a block of the shorter and of the longer list.
+SHORT_BLOCK, LONG_BLOCK = 256, 16_384
 
-    For every value of the shorter list (list 1 = good on equal sizes), the value of
-    the other list with the highest Jaro-Winkler (ties -> smaller value), then mean,
-    sample std and 0.9 quantile (linear) of Jaro-Winkler, Damerau-Levenshtein and
-    Hamming over those best matches.
+
+def _blocks(attr_values: DataFrame, sizes: DataFrame, size: int, column: str) -> DataFrame:
+    """(attribute, <column>): the values of an attribute in lists of about ``size``."""
+    block = F.pmod(F.xxhash64("value"), F.ceil(F.col("n_values") / size))
+    held = attr_values.select("attribute", "value").join(sizes, "attribute").groupBy("attribute", block.alias("block"))
+    return held.agg(F.collect_list("value").alias(column)).select("attribute", column)
+
+
+def best_value_matches(pairs: DataFrame, attr_values: DataFrame, short_block: int = SHORT_BLOCK, long_block: int = LONG_BLOCK) -> DataFrame:
+    """(name, value, match, jaro): for every value of the shorter list (the good attribute's on
+    equal sizes) the value of the other list with the highest Jaro-Winkler (ties: smaller value).
+
+    All values count, none is capped. Equal values are found by a join first; the others go block
+    by block against the whole longer list.
     """
-    g = pairs.select("name", F.col("good_attribute").alias("attribute"), F.lit(1).alias("side"))
-    b = pairs.select("name", F.col("bad_attribute").alias("attribute"), F.lit(2).alias("side"))
-    rows = g.unionByName(b).join(capped.select("attribute", "value"), "attribute").select("name", "side", "value")
-    cols = ["jaro", "damerau_levenshtein", "hamming"]
-    stats = [f"{c}_{s}" for c in cols for s in ("mean", "std", "q90")]
-    schema = T.StructType([T.StructField("name", T.StringType())] + [T.StructField(s, T.DoubleType()) for s in stats])
-
-    def per_pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        l1 = sorted(pdf.loc[pdf.side == 1, "value"].tolist())
-        l2 = sorted(pdf.loc[pdf.side == 2, "value"].tolist())
-        short, long_ = (l2, l1) if len(l1) > len(l2) else (l1, l2)
-        long_set = set(long_)
-        long_pos = [(w, char_positions(w)) for w in long_]
-        best = []
-        for v in short:
-            if v in long_set:
-                w, jw = v, 1.0
-            else:
-                w, jw = None, -1.0
-                for cand, pos in long_pos:
-                    s = jaro_winkler_indexed(v, cand, pos)
-                    if s > jw:
-                        w, jw = cand, s
-            best.append((jw, damerau_levenshtein(v, w), hamming(v, w)))
-        arr = np.array(best, dtype=float).reshape(-1, 3)
-        out = {"name": pdf["name"].iloc[0]}
-        for i, c in enumerate(cols):
-            x = arr[:, i]
-            out[f"{c}_mean"] = float(x.mean()) if len(x) else None
-            out[f"{c}_std"] = float(x.std(ddof=1)) if len(x) > 1 else None
-            out[f"{c}_q90"] = float(np.quantile(x, 0.9)) if len(x) else None
-        return pd.DataFrame([out])
-
-    return rows.groupBy("name").applyInPandas(per_pair, schema)
+    sizes = attr_values.groupBy("attribute").agg(F.count(F.lit(1)).alias("n_values"))
+    side = lambda s: sizes.select(F.col("attribute").alias(f"{s}_attribute"), F.col("n_values").alias(f"n_{s}"))
+    p = pairs.select("name", "good_attribute", "bad_attribute").join(side("good"), "good_attribute").join(side("bad"), "bad_attribute")
+    good_short = F.col("n_good") <= F.col("n_bad")
+    roles = p.select(
+        "name",
+        F.when(good_short, F.col("good_attribute")).otherwise(F.col("bad_attribute")).alias("short"),
+        F.when(good_short, F.col("bad_attribute")).otherwise(F.col("good_attribute")).alias("long"),
+    )
+    values = attr_values.select("attribute", "value")
+    shorts = roles.join(values.withColumnRenamed("attribute", "short"), "short")
+    equal = values.select(F.col("attribute").alias("long"), "value")
+    same = shorts.join(equal, ["long", "value"]).select("name", "value", F.col("value").alias("match"), F.lit(1.0).alias("jaro"))
+    rest = shorts.join(equal, ["long", "value"], "left_anti")
+
+    block = F.pmod(F.xxhash64("value"), F.ceil(F.col("n_values") / short_block))
+    left = rest.join(sizes.withColumnRenamed("attribute", "short"), "short").groupBy("name", "long", block.alias("block"))
+    left = left.agg(F.collect_list("value").alias("values")).select("name", "long", "values")
+    right = _blocks(attr_values, sizes, long_block, "others").withColumnRenamed("attribute", "long")
+    # one row is one piece of work: a block against a block
+    work = left.join(right, "long").select("name", "values", "others").repartition("name", F.xxhash64("values"), F.xxhash64("others"))
+
+    def match(batches):
+        for pdf in batches:
+            out, last = [], (None, None)
+            for name, vs, ws in zip(pdf["name"], pdf["values"], pdf["others"]):
+                key = (len(ws), hash(tuple(ws)))
+                if last[0] != key:
+                    last = (key, ValueBlock(list(ws)))
+                out += [(name, v, *last[1].best(v)) for v in vs]
+            yield pd.DataFrame(out, columns=["name", "value", "jaro", "match"])
+
+    found = work.mapInPandas(match, "name string, value string, jaro double, match string")
+    top = F.min(F.struct((-F.col("jaro")).alias("worst"), F.col("match").alias("match")))
+    best = found.groupBy("name", "value").agg(top.alias("m")).select("name", "value", "m.match", (-F.col("m.worst")).alias("jaro"))
+    return same.unionByName(best)
+
+
+@F.pandas_udf(T.StructType([T.StructField("damerau_levenshtein", T.IntegerType()), T.StructField("hamming", T.IntegerType())]))
+def _distances(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"damerau_levenshtein": [damerau_levenshtein(x, y) for x, y in zip(a, b)], "hamming": [hamming(x, y) for x, y in zip(a, b)]}, dtype="int32")
+
+
+def best_value_matches_stats(pairs: DataFrame, attr_values: DataFrame, **blocks) -> DataFrame:
+    """Mean, sample std and 0.9 quantile (linear) of Jaro-Winkler, Damerau-Levenshtein and
+    Hamming over the best matches (V10) of each pair."""
+    best = best_value_matches(pairs, attr_values, **blocks).withColumn("d", _distances("value", "match"))
+    best = best.select("name", "jaro", F.col("d.damerau_levenshtein").cast("double").alias("damerau_levenshtein"), F.col("d.hamming").cast("double").alias("hamming"))
+    aggs = []
+    for c in ("jaro", "damerau_levenshtein", "hamming"):
+        aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.percentile(c, 0.9).alias(f"{c}_q90")]
+    return best.groupBy("name").agg(*aggs)
 
 
 def pairs_missing_values(pairs: DataFrame, attr_values: DataFrame) -> DataFrame:
@@ -220,7 +250,7 @@ def pairs_missing_values(pairs: DataFrame, attr_values: DataFrame) -> DataFrame:
     return p.where(F.col("hg").isNull() | F.col("hb").isNull()).select(*pairs.columns, reason.alias("reason"))
 
 
-def value_features(pairs: DataFrame, attr_values: DataFrame, cap: int = 1000, fuzzy: bool = True) -> DataFrame:
+def value_features(pairs: DataFrame, attr_values: DataFrame, fuzzy: bool = True) -> DataFrame:
     """The per-pair value feature row (pairs need name, good_attribute, bad_attribute).
 
     Pairs with an attribute without values are left out (see V13). Fuzzy scores are
@@ -243,7 +273,7 @@ def value_features(pairs: DataFrame, attr_values: DataFrame, cap: int = 1000, fu
         * (shared_f / (F.col("total_freq_good") + F.col("total_freq_bad"))),
     )
     if fuzzy:
-        need = p.where(~F.col("type_match").isin("numeric match", "date match")).select("name", "good_attribute", "bad_attribute")
-        fz = best_value_matches_stats(need, top_values_cap(attr_values, cap))
+        need = cut_lineage(p.where(~F.col("type_match").isin("numeric match", "date match")).select("name", "good_attribute", "bad_attribute"))
+        fz = best_value_matches_stats(need, attr_values)
         p = p.join(fz, "name", "left").withColumn("jaro_score", F.col("jaro_q90"))
     return p

@@ -100,22 +100,19 @@ def column_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value counts ``attr_values(attribute, value, n)`` of chosen columns.
 
     attribute = 'table.column'; numbers are printed with two decimals and dates as
-    yyyy-MM-dd, so that the text form is the same in every engine. Each column is
-    counted where it is scanned (partial aggregation) before the union.
+    yyyy-MM-dd, so that the text form is the same in every engine. Each table is scanned once
+    and its columns are unpivoted; one aggregation (partial where scanned) counts them all.
     """
     parts = []
-    for table, col, kind in COLUMN_VALUE_SOURCES:
-        df = read_table(spark, sf_dir, table).select(col)
-        parts.append(
-            df.select(F.lit(f"{table}.{col}").alias("attribute"), _as_text(col, kind).alias("value"))
-            .where(F.col("value").isNotNull())
-            .groupBy("attribute", "value")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
+    for table in dict.fromkeys(t for t, _, _ in COLUMN_VALUE_SOURCES):
+        cols = [(c, kind) for t, c, kind in COLUMN_VALUE_SOURCES if t == table]
+        cells = [F.struct(F.lit(f"{table}.{c}").alias("attribute"), _as_text(c, kind).alias("value")) for c, kind in cols]
+        df = read_table(spark, sf_dir, table).select(*[c for c, _ in cols])
+        parts.append(df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Fixed mapping of event types to curator decisions (adapter convention).
