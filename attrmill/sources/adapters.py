@@ -59,6 +59,34 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.distinct().withColumn("value", F.lit(None).cast("string"))
 
 
+#: Spellings of a part name, by part number: as SQL that Spark and DuckDB read alike.
+NAME_STYLES = [
+    "p_name",
+    "concat(split_part(p_name, ' ', 1), upper(substring(split_part(p_name, ' ', 2), 1, 1)), substring(split_part(p_name, ' ', 2), 2))",
+    "concat(upper(substring(p_name, 1, 1)), substring(replace(p_name, ' ', '_'), 2))",
+    "concat(p_name, 's')",
+    "concat(p_name, ' ', CAST(p_partkey % 3 AS STRING))",
+    "upper(p_name)",
+    "concat('the ', p_name)",
+    "replace(p_name, ' ', '')",
+    "concat(upper(substring(p_name, 1, 1)), substring(p_name, 2), 's')",
+]
+STYLED_NAME = "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(NAME_STYLES)) + " END"
+
+
+def styled_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as samples, part names in the spelling of the part's number as attributes: names that
+    differ by case, camel case, spaces, special characters, plurals, numbers and stop words."""
+    li = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id"), "l_partkey")
+    part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.expr(STYLED_NAME).alias("attribute"))
+    return li.join(part, "l_partkey").select("sample_id", "attribute").distinct()
+
+
+def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the part names, lower case: the word list of a curator's own dictionary."""
+    return read_table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
+
+
 def item_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as samples, each distinct word as attribute: a sparse graph, as few items share words."""
     items = read_table(spark, sf_dir, "benchmark").select(
