@@ -10,6 +10,7 @@ from attrmill.operators import lexical as L
 from attrmill.operators import recommend as R
 from attrmill.operators import stats as B
 from attrmill.plans import similarity_join as S
+from attrmill.session import cut_lineage
 from attrmill.sources import adapters as A
 
 
@@ -75,8 +76,10 @@ def q_similar_pairs_tokens(spark, sf_dir):
 
 
 def _diagnosis(spark: SparkSession, sf_dir: str, vocabulary: DataFrame) -> DataFrame:
-    dic = L.dictionary_from_tokens(A.tokens(spark, sf_dir))
-    pairs = S.candidate_pairs(vocabulary).select("attribute1", "attribute2", "levenshtein")
+    # each is read by several branches of the diagnosis
+    vocabulary = cut_lineage(vocabulary)
+    dic = cut_lineage(L.dictionary_from_tokens(A.tokens(spark, sf_dir)))
+    pairs = cut_lineage(S.candidate_pairs(vocabulary).select("attribute1", "attribute2", "levenshtein"))
     return L.diagnose(pairs, vocabulary, dic)
 
 
