@@ -5,12 +5,17 @@ neighbours of one kind folded into one node (a run of paragraphs is one node). F
 each host the largest frame is the reference; the frames of all its pages are
 aligned with it by simple tree matching (the largest number of node pairs that keeps
 order and ancestry). A node whose text is the same on all pages that have it, at
-least `LEAST_PAGES` different ones, is template; varying nodes are slots. Main text
+least `LEAST_PAGES` different ones, is template; varying nodes are slots. A page is known by
+its largest varying text, so copies of one article count as one page whatever their trackers
+or adverts; and a page whose varying text is less than `LEAST_VARYING` of its text tells nothing
+about the template, so an article that all pages of a host share is not taken for it. Main text
 is the slots' text: elements that HTML itself marks as no main text (menus,
 forms, scripts, side notes, and whole class names or ids that say so) are left out; the
 article or main element with most text, what is around it, and the body are never left
 out by class name. Where articles hold `LEAST_SHARE` of the text of main (or of the page
 without one), only they count; else, where main holds that share of the page, only main.
+With less than that share, what is around them counts as well. No walk is recursive, so tags
+may nest to any depth.
 
 Wrappers are joined to their pages; they are broadcast only if all of them together are
 at most `WRAPPER_BYTES`.
@@ -27,8 +32,11 @@ from __future__ import annotations
 
 import functools
 import html
+import itertools
 import json
 import re
+from collections import Counter
+from operator import attrgetter
 
 import pyarrow as pa
 import xxhash
@@ -39,7 +47,8 @@ from attrmill.llm.common import Memo, Workspace, arrow_stage
 
 LEAST_PAGES = 3
 WRAPPER_BYTES = 8_000_000
-LEAST_SHARE = 1 / 3
+LEAST_SHARE = 2 / 3
+LEAST_VARYING = 1 / 5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
@@ -93,7 +102,12 @@ class Node:
 def parse(text: str) -> Node:
     """The tree of a page; unclosed and stray tags are mended the way browsers do it."""
     root = Node("#root")
-    stack = [root]
+    stack, opened = [root], Counter()
+
+    def close(k: int) -> None:
+        opened.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     at, n = 0, len(text)
     while at < n:
         m = _TOKEN.match(text, at)
@@ -106,18 +120,16 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if opened[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         ends = _ENDS.get(tag, ())
         if tag in BLOCK:
             ends = (*ends, "p")
-        if ends:
+        if any(opened[e] > 0 for e in ends):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in _SCOPE and not (tag == "tr" and stack[k].tag in ("td", "th")):
                     break
@@ -126,142 +138,128 @@ def parse(text: str) -> Node:
         if tag in VOID:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(text, at)
-            node.kids.append(text[at : close.start() if close else n])
-            if not close:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(text, at)
+            node.kids.append(text[at : end.start() if end else n])
+            if not end:
                 break
-            shut = text.find(">", close.start())
+            shut = text.find(">", end.start())
             at = n if shut < 0 else shut + 1
             continue
         stack.append(node)
+        opened[tag] += 1
     return root
 
 
 # ---- frames and their alignment ---------------------------------------------------------
 
 
-class Frame:
-    """A block of the folded tree, with the elements that it stands for."""
-
-    __slots__ = ("sign", "nodes", "kids", "hash")
-
-    def __init__(self, sign: str, nodes: list[Node]) -> None:
-        self.sign, self.nodes, self.kids, self.hash = sign, nodes, [], 0
-
-
-def _blocks(node: Node):
-    for k in node.kids:
-        if isinstance(k, Node) and k.tag not in RAW:
-            if k.tag in BLOCK:
-                yield k
-            else:
-                yield from _blocks(k)
-
-
-def _own_text(node: Node):
-    for k in node.kids:
-        if isinstance(k, str):
+def _inline(node: Node):
+    """The strings and blocks of a node in page order, through its inline elements."""
+    stack = [iter(node.kids)]
+    while stack:
+        k = next(stack[-1], None)
+        if k is None:
+            stack.pop()
+        elif isinstance(k, str) or k.tag in BLOCK:
             yield k
-        elif k.tag not in BLOCK and k.tag not in RAW:
-            yield from _own_text(k)
-
-
-def frame_of(nodes: list[Node], sign: str = "#root") -> Frame:
-    out = Frame(sign, nodes)
-    own = _SPACE.sub(" ", "\n".join("".join(_own_text(n)) for n in nodes)).strip()
-    out.hash = xxhash.xxh3_64_intdigest(own.encode()) >> 1 if own else 0
-    run: list[Node] = []
-    for k in (k for n in nodes for k in _blocks(n)):
-        if run and run[-1].sign != k.sign:
-            out.kids.append(frame_of(run, run[0].sign))
-            run = []
-        run.append(k)
-    if run:
-        out.kids.append(frame_of(run, run[0].sign))
-    return out
-
-
-def plain(f: Frame) -> list:
-    return [f.sign, f.hash, [plain(k) for k in f.kids]]
-
-
-def size(f: list) -> int:
-    return 1 + sum(size(k) for k in f[2])
-
-
-def match(a: list, b: list) -> tuple[int, list]:
-    """Simple tree matching of two plain frames: number of matched nodes, and the matched
-    pairs of children as (i, j, their own pairs)."""
-    if a[0] != b[0]:
-        return 0, []
-    m, n = len(a[2]), len(b[2])
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    got = {}
-    for i in range(m):
-        for j in range(n):
-            w, pairs = match(a[2][i], b[2][j])
-            got[i, j] = w, pairs
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-    out, i, j = [], m, n
-    while i and j:
-        w, pairs = got[i - 1, j - 1]
-        if w and best[i][j] == best[i - 1][j - 1] + w:
-            out.append((i - 1, j - 1, pairs))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[m][n], out[::-1]
-
-
-def aligned(reference: list, other: list) -> list[tuple[str, list[int]]]:
-    """(path in the reference, path in the other) of the matched nodes."""
-    out = []
-
-    def down(pairs, a_path, b_path):
-        for i, j, more in pairs:
-            a, b = f"{a_path}.{i}", [*b_path, j]
-            out.append((a, b))
-            down(more, a, b)
-
-    down(match(reference, other)[1], "", [])
+        elif k.tag not in RAW:
+            stack.append(iter(k.kids))
+
+
+def frame_of(root: Node) -> tuple[list[list], list[list[Node]]]:
+    """The folded tree of blocks as rows [parent's place, sign, hash of the own text, its
+    length], parents first, and for each row the elements that it stands for. Blocks that
+    are no main text have no text here."""
+    rows, nodes = [], []
+    todo = [(-1, root.sign, [root], False)]
+    for at, (parent, sign, run, noise) in enumerate(todo):  # grows while it is walked
+        noise = noise or run[0].noise
+        parts = [list(_inline(n)) for n in run]
+        own = "" if noise else _SPACE.sub(" ", "\n".join("".join(k for k in p if isinstance(k, str)) for p in parts)).strip()
+        rows.append([parent, sign, xxhash.xxh3_64_intdigest(own.encode()) >> 1 if own else 0, len(own)])
+        nodes.append(run)
+        blocks = (k for p in parts for k in p if not isinstance(k, str))
+        for (kind, skipped), group in itertools.groupby(blocks, attrgetter("sign", "noise")):
+            todo.append((at, kind, list(group), noise or skipped))
+    return rows, nodes
+
+
+def _kids(rows: list[list]) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in rows]
+    for at, row in enumerate(rows[1:], 1):
+        out[row[0]].append(at)
     return out
 
 
-def at_path(f: list, path: list[int]) -> list:
-    for i in path:
-        f = f[2][i]
-    return f
+def aligned(a: list[list], b: list[list]) -> list[tuple[int, int]]:
+    """(place in a, place in b) of the nodes below the roots that simple tree matching pairs:
+    the largest number of pairs of one sign that keeps order and ancestry."""
+    below_a, below_b = _kids(a), _kids(b)
+    pairs = [(0, 0)]
+    for x, y in pairs:  # grows while it is walked: all pairs whose ancestors are of one sign
+        pairs += [(i, j) for i in below_a[x] for j in below_b[y] if a[i][1] == b[j][1]]
+    weight: dict[tuple[int, int], int] = {}
+
+    def best_sums(x: int, y: int) -> list[list[int]]:
+        sums = [[0] * (len(below_b[y]) + 1)]
+        for i in below_a[x]:
+            above, row = sums[-1], [0]
+            for j, other in enumerate(below_b[y]):
+                row.append(max(above[j + 1], row[j], above[j] + weight.get((i, other), 0)))
+            sums.append(row)
+        return sums
+
+    for x, y in reversed(pairs):
+        weight[x, y] = 1 + best_sums(x, y)[-1][-1]
+    out, todo = [], [(0, 0)]
+    while todo:
+        x, y = todo.pop()
+        sums = best_sums(x, y)
+        i, j = len(below_a[x]), len(below_b[y])
+        while i and j:
+            pair = below_a[x][i - 1], below_b[y][j - 1]
+            w = weight.get(pair, 0)
+            if w and sums[i][j] == sums[i - 1][j - 1] + w:
+                out.append(pair)
+                todo.append(pair)
+                i, j = i - 1, j - 1
+            elif sums[i][j] == sums[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+    return sorted(out)
 
 
 # ---- extraction -------------------------------------------------------------------------
 
 
-def _main(node: Node, tag: str) -> list[Node]:
-    out = []
-    for k in node.kids:
-        if isinstance(k, Node) and not k.noise:
-            out += [k] if k.tag == tag else _main(k, tag)
+def _main(root: Node, tag: str) -> list[Node]:
+    """The outermost elements of this tag outside noise, in page order."""
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n.tag == tag:
+            out.append(n)
+        else:
+            todo.extend(k for k in reversed(n.kids) if isinstance(k, Node) and not k.noise)
     return out
 
 
 def keep_longest(root: Node) -> None:
     """The article or main with most text, and what is around it, are no noise by name."""
-    best: tuple[int, list[Node]] = (0, [])
-
-    def chars(node: Node, above: list[Node]) -> int:
-        nonlocal best
-        above = [*above, node] if node.by_name or node.tag in ("article", "main") else above
-        n = sum(len(k.strip()) if isinstance(k, str) else chars(k, above) for k in node.kids if isinstance(k, str) or not k.noise or k.by_name)
-        if node.tag in ("article", "main") and n > best[0]:
-            best = n, above
-        return n
-
-    chars(root, [])
-    for node in best[1]:
-        if node.by_name:
-            node.noise = node.by_name = False
+    nodes, above = [root], [-1]
+    for at, node in enumerate(nodes):  # grows while it is walked
+        inner = [k for k in node.kids if isinstance(k, Node) and (not k.noise or k.by_name)]
+        nodes += inner
+        above += [at] * len(inner)
+    chars = [sum(len(k.strip()) for k in node.kids if isinstance(k, str)) for node in nodes]
+    for at in range(len(nodes) - 1, 0, -1):
+        chars[above[at]] += chars[at]
+    at = max((at for at, node in enumerate(nodes) if node.tag in ("article", "main")), key=lambda at: (chars[at], at), default=-1)
+    while at >= 0:
+        if nodes[at].by_name:
+            nodes[at].noise = nodes[at].by_name = False
+        at = above[at]
 
 
 def blocks_of(node: Node, template: set[int], inside: bool) -> list[str]:
@@ -275,40 +273,42 @@ def blocks_of(node: Node, template: set[int], inside: bool) -> list[str]:
         if s:
             out.append(s)
 
-    def walk(n: Node, own: bool):
-        for k in n.kids:
-            if isinstance(k, str):
-                if own:
-                    line.append(k)
-            elif k.noise or k.tag in RAW or (k.tag == "header" and not inside):
-                if k.tag in BLOCK:
-                    flush()
-            elif k.tag == "br":
-                line.append("\n")
-            elif k.tag in BLOCK:
+    stack = [(iter(node.kids), id(node) not in template, True)]
+    while stack:
+        kids, own, block = stack[-1]
+        k = next(kids, None)
+        if k is None:
+            stack.pop()
+            if block:
                 flush()
-                walk(k, id(k) not in template)
+        elif isinstance(k, str):
+            if own:
+                line.append(k)
+        elif k.noise or k.tag in RAW or (k.tag == "header" and not inside):
+            if k.tag in BLOCK:
                 flush()
-            else:
-                walk(k, own)
-
-    walk(node, id(node) not in template)
-    flush()
+        elif k.tag == "br":
+            line.append("\n")
+        elif k.tag in BLOCK:
+            flush()
+            stack.append((iter(k.kids), id(k) not in template, True))
+        else:
+            stack.append((iter(k.kids), own, False))
     return out
 
 
-def main_text(text: str, reference: list | None = None, constant: frozenset[str] = frozenset()) -> str:
+def page_tree(text: str) -> Node:
     root = parse(text)
+    keep_longest(root)
+    return root
+
+
+def main_text(text: str, reference: list | None = None, constant: frozenset[int] = frozenset()) -> str:
+    root = page_tree(text)
     template: set[int] = set()
     if reference and constant:
-        frame = frame_of([root])
-        for a, path in aligned(reference, plain(frame)):
-            if a in constant:
-                f = frame
-                for i in path:
-                    f = f.kids[i]
-                template.update(map(id, f.nodes))
-    keep_longest(root)
+        rows, nodes = frame_of(root)
+        template = {id(n) for a, b in aligned(reference, rows) if a in constant for n in nodes[b]}
     main, articles = _main(root, "main"), _main(root, "article")
     page = blocks_of(root, template, False)
     if not main and not articles:
@@ -332,24 +332,26 @@ def _frames(batches):
     for b in batches:
         rows = []
         for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            f = plain(frame_of([parse(text or "")]))
-            rows.append((host, size(f), json.dumps(f, separators=(",", ":")), xxhash.xxh3_64_intdigest((text or "").encode()) >> 1))
-        cols = list(zip(*rows)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64()))], ["host", "size", "frame", "page"])
+            f = frame_of(page_tree(text or ""))[0]
+            rows.append((host, len(f), json.dumps(f, separators=(",", ":"))))
+        cols = list(zip(*rows)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()))], ["host", "size", "frame"])
 
 
 def _align(batches):
+    """The texts of a page: place in the reference (-1: not aligned), hash, length."""
     reference = Memo(json.loads, 2_000)
     for b in batches:
         rows = []
-        for host, ref, frame, page in zip(*(b.column(i).to_pylist() for i in range(4))):
+        for host, ref, frame in zip(*(b.column(i).to_pylist() for i in range(3))):
             f = json.loads(frame)
-            for a, path in aligned(reference[ref], f):
-                h = at_path(f, path)[1]
-                if h:
-                    rows.append((host, a, h, page))
+            place = {y: x for x, y in aligned(reference[ref], f)}
+            texts = [(place.get(y, -1), row[2], row[3]) for y, row in enumerate(f) if row[2]]
+            if texts:
+                rows.append((host, *map(list, zip(*texts))))
         cols = list(zip(*rows)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["host", "path", "h", "page"])
+        kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["host", "places", "hs", "lens"])
 
 
 def _extract(batches):
@@ -365,25 +367,44 @@ def host_of(url: str) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
 
 
+def template_places(texts: DataFrame) -> DataFrame:
+    """host, constant: places of the reference whose text is the same on all pages that have
+    it, where these are at least `LEAST_PAGES` pages with different largest varying texts."""
+    node = F.explode(F.arrays_zip("places", "hs")).alias("t")
+    same = (
+        texts.select("host", node).select("host", F.col("t.places").alias("place"), F.col("t.hs").alias("h")).filter("place >= 0")
+        .groupBy("host", "place").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo = hi")
+        .groupBy("host").agg(F.collect_list("place").alias("same"))
+    )  # at most the reference's nodes for a host
+    parts = F.arrays_zip("places", "hs", "lens")
+    varying = F.filter(parts, lambda t: ~F.array_contains("same", t["places"]))
+    chars = lambda ts: F.aggregate(ts, F.lit(0).cast("long"), lambda n, t: n + t["lens"])
+    largest = F.array_max(F.transform(varying, lambda t: F.struct(t["lens"], t["hs"])))["hs"]
+    return (
+        texts.join(same, "host")
+        .filter(chars(varying) >= F.lit(LEAST_VARYING) * chars(parts))
+        .select("host", largest.alias("page"), F.explode(F.array_intersect("places", "same")).alias("place"))
+        .distinct()
+        .groupBy("host", "place").agg(F.count("page").alias("n")).filter(f"n >= {LEAST_PAGES}")
+        .groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("constant"))
+    )
+
+
 def learn_wrappers(pages: DataFrame, work: Workspace) -> DataFrame:
-    """host, reference (its frame), constant (paths of the template nodes)."""
+    """host, reference (its frame), constant (places of the template nodes)."""
     hosted = pages.select(host_of("url").alias("host"), "html").filter("host != ''")
-    frames = work.save(arrow_stage(hosted, _frames, "host string, size long, frame string, page long"), "frames")
+    frames = work.save(arrow_stage(hosted, _frames, "host string, size long, frame string"), "frames")
     reference = work.save(frames.groupBy("host").agg(F.max(F.struct("size", "frame"))["frame"].alias("reference")), "references")
-    texts = arrow_stage(frames.join(reference, "host").select("host", "reference", "frame", "page"), _align, "host string, path string, h long, page long")
-    constant = (
-        texts.groupBy("host", "path").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.approx_count_distinct("page", 0.02).alias("n"))
-        .filter(f"lo = hi and n >= {LEAST_PAGES}")
-        .groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("constant"))
-    )  # at most the reference's nodes for a host
-    return work.save(reference.join(constant, "host"), "wrappers")
+    schema = "host string, places array<int>, hs array<long>, lens array<long>"
+    texts = work.save(arrow_stage(frames.join(reference, "host").select("host", "reference", "frame"), _align, schema), "texts")
+    return work.save(reference.join(template_places(texts), "host"), "wrappers")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     work = Workspace(pages.sparkSession)
     wrappers = learn_wrappers(pages, work)
-    total = wrappers.agg(F.sum(F.length("reference") + F.length(F.concat_ws("", "constant")))).first()[0] or 0
+    total = wrappers.agg(F.sum(F.length("reference") + 4 * F.size("constant"))).first()[0] or 0
     rows = pages.select("page_id", "url", "html", F.nullif(host_of("url"), F.lit("")).alias("host"))
     rows = rows.join(F.broadcast(wrappers) if total <= WRAPPER_BYTES else wrappers, "host", "left").select("page_id", "url", "html", "reference", "constant")
     kind = pages.schema["page_id"].dataType.simpleString()
