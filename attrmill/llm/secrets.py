@@ -17,8 +17,10 @@ columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import math
 import re
 
@@ -97,12 +99,15 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     for at, s in candidates:  # a run of 24 hexadecimal digits is inside a candidate
         base += [(at + m.start(), 2, at + m.end()) for m in _HEX.finditer(s)]
     base.sort()
+    starts = [b[0] for b in base]
+    reach = list(itertools.accumulate((b[2] for b in base), max))  # farthest end of the spans up to here
     more = set()
     for at, s in candidates:
         if not any(p.fullmatch(s) for p in ALLOWED):
             for members, size, least in CLASSES.values():
                 for x, y in entropy_windows(s, members, size, least):
-                    if not any(b[0] <= at + x and at + y <= b[2] for b in base):
+                    upto = bisect.bisect_right(starts, at + x)
+                    if not upto or reach[upto - 1] < at + y:
                         more.add((at + x, 3, at + y))
     return base, sorted(base + list(more))
 
