@@ -197,9 +197,12 @@ def _overlap(batches):
         a_out, b_out = [], []
         for a, o, ta, tb in zip(*(b.column(i).to_pylist() for i in range(4))):
             if a != last:
-                last, u = a, shingle_set(ta)
+                first = shingle_set(ta)
+                if _node(first) != a:  # the text of another row with this doc_id
+                    continue
+                last, u = a, first
             v = shingle_set(tb)
-            if _node(u) != a or _node(v) != o:  # another row with this doc_id
+            if _node(v) != o:
                 continue
             both = len(np.intersect1d(u, v, assume_unique=True))
             if 100 * both >= 80 * (len(u) + len(v) - both):
