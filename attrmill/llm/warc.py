@@ -169,6 +169,7 @@ def _read(batches):
 
 
 def read_archives(spark: SparkSession, places: DataFrame) -> DataFrame:
-    """Every record of the bundles that ``places`` names, from the bundles themselves."""
+    """Every record of the bundles that ``places`` names, from the bundles themselves; the
+    bundles are dealt out over as many tasks."""
     bundles = places.select("bundle").distinct()
-    return arrow_stage(bundles.repartition(max(1, bundles.count()), "bundle"), _read, _READ)
+    return arrow_stage(bundles.repartition(max(1, bundles.count())), _read, _READ)
