@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,3 +82,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def table_path(spark: SparkSession, name: str) -> str:
     """Path for an intermediate table inside the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), "tables", name)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a new table in the shared checkpoint folder: computed once, and unlike a checkpoint
+    without the constraints of its plan, which grow with every join of an iteration."""
+    path = table_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
