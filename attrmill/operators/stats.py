@@ -2,9 +2,9 @@
 
 Input is the long form ``sample_attr(sample_id, attribute, value)`` with one
 row per (sample, attribute). Everything is a hash aggregate with map-side
-partial aggregation; the only pair generation is a self-join on sample_id,
-which Spark distributes (AQE splits a hot sample across tasks) and whose
-output is immediately partially aggregated.
+partial aggregation; the only pair generation is a join of the blocks of each
+sample, which spreads a hot sample over all tasks and whose output is
+immediately partially aggregated.
 """
 
 from __future__ import annotations
@@ -53,22 +53,48 @@ def merge_partial_value_counts(*parts: DataFrame) -> DataFrame:
     return out.groupBy("attribute", "value").agg(F.sum("n").cast("bigint").alias("n"))
 
 
+#: Attributes of a sample that are paired in one piece; a longer list is cut into blocks of about this
+#: many, and every two blocks are joined by themselves.
+BLOCK = 512
+
+
+def block_pairs(left: DataFrame, right: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(sample_id, attribute1, attribute2): every two different attributes of a sample once, in order;
+    with `right`, every attribute of `left` with every one of `right` (which hold different ones).
+
+    A sample of m attributes falls into ceil(m / block) blocks by a hash of the attribute, and each
+    attribute goes to the pairs of blocks that its own is in. The join key is (sample, block, block),
+    so one sample of any size is spread over all tasks, at most about block^2 pairs a key.
+    """
+    self_join = right is None
+    both = left if self_join else left.unionByName(right)
+    large = both.groupBy("sample_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+
+    def blocked(side: DataFrame) -> DataFrame:
+        n = F.coalesce("blocks", F.lit(1))
+        return side.select("sample_id", "attribute").join(large, "sample_id", "left").select(
+            "sample_id", "attribute", n.alias("blocks"), F.pmod(F.xxhash64("attribute"), n).cast("int").alias("block")
+        )
+
+    # in a self-join the pair of blocks (i, j) is made for i <= j only
+    upper = F.sequence("block", F.col("blocks") - 1) if self_join else F.sequence(F.lit(0), F.col("blocks") - 1)
+    lower = F.sequence(F.lit(0), F.col("block")) if self_join else F.sequence(F.lit(0), F.col("blocks") - 1)
+    a = blocked(left).select("sample_id", F.col("attribute").alias("a"), F.col("block").alias("i"), F.explode(upper).alias("j"))
+    b = blocked(left if self_join else right).select("sample_id", F.col("attribute").alias("b"), F.col("block").alias("j"), F.explode(lower).alias("i"))
+    pairs = a.join(b, ["sample_id", "i", "j"])
+    if self_join:
+        pairs = pairs.where("i < j OR a < b")
+    return pairs.select("sample_id", F.least("a", "b").alias("attribute1"), F.greatest("a", "b").alias("attribute2"))
+
+
 def cooccurrence(sample_attr: DataFrame) -> DataFrame:
     """Number of samples holding both attributes, attribute1 < attribute2.
 
-    Expressed as a self-join on sample_id so that the pair generation is a
-    distributed join (skew-split by AQE) followed by a partial+final aggregate,
-    never a single task exploding one huge per-sample list.
+    Pairs come from a join of the blocks of each sample (`block_pairs`), so a hot sample is no
+    single task, and are counted by a partial and a final aggregate.
     """
-    base = sample_attr.select("sample_id", "attribute").dropDuplicates()
-    a = base.select("sample_id", F.col("attribute").alias("attribute1"))
-    b = base.select("sample_id", F.col("attribute").alias("attribute2"))
-    return (
-        a.join(b, "sample_id")
-        .where(F.col("attribute1") < F.col("attribute2"))
-        .groupBy("attribute1", "attribute2")
-        .agg(F.count(F.lit(1)).alias("totals"))
-    )
+    base = sample_attr.select("sample_id", "attribute").where("sample_id IS NOT NULL AND attribute IS NOT NULL").dropDuplicates()
+    return block_pairs(base).groupBy("attribute1", "attribute2").agg(F.count(F.lit(1)).alias("totals"))
 
 
 def merge_partial_cooccurrence(*parts: DataFrame) -> DataFrame:
