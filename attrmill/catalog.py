@@ -51,7 +51,7 @@ def _load_all() -> None:
         importlib.import_module(mod)
 
 
-_MODULES: list[str] = ["attrmill.catalog_lexical", "attrmill.catalog_features", "attrmill.catalog_values", "attrmill.catalog_queue", "attrmill.catalog_samples", "attrmill.catalog_styles"]
+_MODULES: list[str] = ["attrmill.catalog_lexical", "attrmill.catalog_features", "attrmill.catalog_values", "attrmill.catalog_queue", "attrmill.catalog_samples", "attrmill.catalog_styles", "attrmill.catalog_stores"]
 
 
 def r6(c: str):

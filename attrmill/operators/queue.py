@@ -72,7 +72,7 @@ def _attr_df(pairs: DataFrame, attrs: Sequence[str] | DataFrame) -> DataFrame:
 
 def touching(pairs: DataFrame, attrs: DataFrame) -> DataFrame:
     """Pairs whose good or bad attribute is in `attrs` (each pair once)."""
-    a = F.broadcast(attrs)  # a curator's list: small by construction
+    a = attrs  # may hold all earlier merges of a curator: Spark checks its size before broadcasting it
     g = pairs.join(a.withColumnRenamed("attribute", "good_attribute"), "good_attribute", "left_semi")
     b = pairs.join(a.withColumnRenamed("attribute", "bad_attribute"), "bad_attribute", "left_semi")
     return g.unionByName(b).distinct()
@@ -171,7 +171,7 @@ def overview_counts(pairs: DataFrame, sample_attr: DataFrame) -> DataFrame:
 
 def feature_progress(spine: DataFrame, **stages: DataFrame) -> DataFrame:
     """Q17: per analysis stage, pairs processed (rows with a timestamp) and their percentage of all pairs."""
-    total = spine.count()
+    total = spine.agg(F.count(F.lit(1))).scalar()
     parts = [
         t.agg(F.count_if(F.col("ts").isNotNull()).alias("processed")).select(F.lit(s).alias("analysis"), "processed")
         for s, t in stages.items()
@@ -179,7 +179,7 @@ def feature_progress(spine: DataFrame, **stages: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    pct = F.round(F.col("processed") * 100.0 / F.lit(total), 2) if total else F.lit(None).cast("double")
+    pct = F.round(F.col("processed") * 100.0 / F.nullif(total, F.lit(0)), 2)
     return out.select("analysis", "processed", pct.alias("percent"))
 
 

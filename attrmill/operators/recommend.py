@@ -24,11 +24,12 @@ def recommend(edges: DataFrame, given: Sequence[str] | DataFrame, n: int = 5) ->
     """Neighbours of the given attributes, not given themselves, by total weight.
 
     `edges` is the symmetric list (src, dst, weight). `given` is a short list
-    (or a one-column DataFrame, e.g. a curator's specialism). The given set
-    is small by construction (a user's list) and is broadcast.
+    (broadcast) or a one-column DataFrame, whose size Spark checks by itself.
     Output: (attribute, total_weight, rank) with rank 1..n.
     """
-    g = F.broadcast(_given(edges, given))
+    g = _given(edges, given)
+    if not isinstance(given, DataFrame):
+        g = F.broadcast(g)
     near = (
         edges.join(g.withColumnRenamed("attribute", "src"), "src", "left_semi")
         .join(g.withColumnRenamed("attribute", "dst"), "dst", "left_anti")

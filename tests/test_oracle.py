@@ -18,6 +18,15 @@ FAST = [
     "profile_stats",
     "queue_max",
     "pair_sample_tally",
+    "sample_pages_read",
+    "incidence_read",
+    "nested_value_counts_read",
+    "upserted_samples",
+    "cluster_membership_rewritten",
+    "decision_log_appended",
+    "feature_progress",
+    "last_updates",
+    "queue_related",
 ]
 
 
