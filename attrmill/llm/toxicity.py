@@ -375,10 +375,65 @@ def cover(left: list[set[str]], stats: dict[str, tuple[float, int, int]], rules:
 # ---- scoring ----------------------------------------------------------------------------
 
 
-def _scorer(rules: dict[str, float], model: np.ndarray):
-    restore = Restorer(model)
-    memo = Memo(lambda w: max((rules.get(f, 0.0) for f in features(w)), default=0.0), 200_000)
-    return lambda text: max(LEAST_SCORE, max(map(memo.__getitem__, restore.words(text)), default=0.0)) if text and rules else LEAST_SCORE
+class Scorer:
+    """Scores whole texts by the rules: the largest weight among the words of their tokens and spaced runs.
+
+    Most disguised tokens cannot be read as any rule. Before a token is decoded, its lattice, with every
+    sign, run length and beginning that a reading may use, is walked against the beginnings of the rules;
+    only where some path reaches a rule does Viterbi say which reading is the likeliest."""
+
+    def __init__(self, rules: dict[str, float], model: np.ndarray) -> None:
+        self.rules, self.model = rules, model
+        names = {f.lstrip("=") for f in rules}
+        self.begun = {f[:k] for f in names for k in range(1, len(f) + 1)}
+        self.names, self.longest = names, max(map(len, names), default=0)
+        self.heads = {f[:3] for f in names}  # a rule of under three letters is a whole word: its own head
+        self.memo = Memo(self.token, 200_000)
+
+    def word(self, word: str) -> float:
+        if word[:3] not in self.heads:
+            return 0.0
+        return max(self.rules.get(f, 0.0) for f in features(word))
+
+    def reaches(self, low: str) -> bool:
+        """Whether some reading of a lower-case token may begin with a rule."""
+        states: set[str] = set()
+        fresh = True
+        for m in _RUN.finditer(low):
+            c = m[1]
+            letters = c if c in _INDEX else LOOK_ALIKES.get(c) or (c if c.isalpha() else "")
+            if letters:
+                if fresh:
+                    states.add("")
+                often = range(1, min(m.end() - m.start(), self.longest) + 1)
+                states = {t for x in letters for j in often for s in states if (t := s + x * j) in self.begun}
+                if not states.isdisjoint(self.names):
+                    return True
+            fresh = not c.isalpha()
+        return False
+
+    def token(self, token: str) -> float:
+        low = token.lower()
+        plain = max(map(self.word, _WORD.findall(low)), default=0.0)
+        if low.isalpha() and not _DOUBLED.search(low) or not self.reaches(low):
+            return plain
+        return max(plain, max(map(self.word, restored_words(token, self.model)), default=0.0))
+
+    def __call__(self, text: str | None) -> float:
+        if not text or not self.rules:
+            return LEAST_SCORE
+        best = LEAST_SCORE
+        for t in text.split():
+            s = self.memo[t] if len(t) <= LONGEST else self.token(t)
+            if s > best:
+                best = s
+        for m in _SPACED.finditer(text):
+            best = max(best, max(map(self.word, spaced_words(m.group(), self.model)), default=0.0))
+        return best
+
+
+def _scorer(rules: dict[str, float], model: np.ndarray) -> Scorer:
+    return Scorer(rules, model)
 
 
 def _score(batches, sent):
