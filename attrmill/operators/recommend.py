@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attrmill.session import written
+
 
 def _given(edges: DataFrame, given: Sequence[str] | DataFrame) -> DataFrame:
     if isinstance(given, DataFrame):
@@ -50,23 +52,39 @@ def known_attributes(attributes: DataFrame) -> DataFrame:
     return attributes.select("attribute").distinct()
 
 
+#: Joined rows (sample, held attribute, neighbour) that one task sums up and ranks.
+ROWS_A_TASK = 4_000_000
+
+
 def batch_recommend(sample_attr: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
     """R1 for every sample at once -> (sample_id, attribute, total_weight, rank).
 
-    sample_attr joins the edge list on the attribute (shuffle on attribute),
-    sums are partially aggregated per (sample, neighbour) before they are shuffled,
-    the sample's own attributes are removed from the sums with an anti-join on the
-    same keys, and the top n per sample come from a window partitioned by
-    sample (each group is one sample's candidate list, bounded by the
-    number of attributes).
+    The samples are dealt out by their id once, over as many tasks as the joined rows need. The
+    edge list is a written table, so Spark knows its size: where it is small enough to be sent to
+    all tasks, join, sums, removal of the own attributes and ranking follow without another
+    shuffle; else sums are shuffled by (sample, neighbour). An attribute is its own neighbour
+    with a mark, so the sample's own attributes are known from the sums themselves.
     """
-    own = sample_attr.select("sample_id", "attribute").dropDuplicates()
+    spark = edges.sparkSession
+    edges = written(edges.select("src", "dst", "weight"), "edges")
+    own = written(sample_attr.select("sample_id", "attribute").dropDuplicates(), "own")
+    degrees = edges.groupBy(F.col("src").alias("attribute")).agg(F.count(F.lit(1)).alias("degree"))
+    held = own.groupBy("attribute").agg(F.count(F.lit(1)).alias("held"))
+    rows = held.join(degrees, "attribute").agg(F.sum(F.col("held") * (F.col("degree") + 1))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+
+    # a sample without an id has no own attributes that could be told apart
+    marked = edges.select(F.col("src").alias("attribute"), "dst", "weight", F.lit(False).alias("mine")).unionByName(
+        degrees.select("attribute", F.col("attribute").alias("dst"), F.lit(None).cast("double").alias("weight"), F.lit(True).alias("mine"))
+    )
+    marked = written(marked, "marked_edges")
     cand = (
-        own.join(edges.select(F.col("src").alias("attribute"), "dst", "weight"), "attribute")
-        .select("sample_id", F.col("dst").alias("attribute"), "weight")
-        .groupBy("sample_id", "attribute")
-        .agg(F.sum("weight").alias("total_weight"))
-        .join(own, ["sample_id", "attribute"], "left_anti")
+        own.repartition(tasks, "sample_id")
+        .join(marked, "attribute")
+        .groupBy("sample_id", F.col("dst").alias("attribute"))
+        .agg(F.sum("weight").alias("total_weight"), F.max("mine").alias("mine"), F.min("mine").alias("only_mine"))
+        .where("NOT only_mine AND (NOT mine OR sample_id IS NULL)")
+        .drop("mine", "only_mine")
     )
     w = Window.partitionBy("sample_id").orderBy(F.round("total_weight", 9).desc(), F.col("attribute"))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
