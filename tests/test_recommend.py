@@ -11,19 +11,19 @@ def test_batch_recommend_equals_a_plain_loop_with_one_shuffle(spark):
     names = [f"a{i}" for i in range(12)]
     weights = {(a, b): rnd.uniform(-1, 1) for i, a in enumerate(names) for b in names[i + 1 :] if rnd.random() < 0.5}
     edges = [(a, b, w) for (a, b), w in weights.items()] + [(b, a, w) for (a, b), w in weights.items()]
-    held = [(s, a) for s in range(30) for a in rnd.sample(names, rnd.randint(1, 5))] + [(None, names[0]), (None, names[1]), (3, None), (4, "other")]
-    sample_attr = spark.createDataFrame(held + held[:20], "sample_id long, attribute string")
+    held = [(s, a) for s in range(3000) for a in rnd.sample(names, rnd.randint(1, 5))] + [(None, names[0]), (None, names[1]), (3, None), (4, "other")]
+    sample_attr = spark.createDataFrame(held + held[:200], "sample_id long, attribute string")
     got = R.batch_recommend(sample_attr, spark.createDataFrame(edges, "src string, dst string, weight double"), 3)
 
-    sums = defaultdict(float)
-    for s, a in set(held):
+    own, sums = set(held), defaultdict(lambda: defaultdict(float))
+    for s, a in own:
         for src, dst, w in edges:
             if src == a:
-                sums[s, dst] += w
+                sums[s][dst] += w
     want = set()
-    for s in {s for s, _ in sums}:
+    for s in sums:
         # nothing is known to be the own of samples without an id
-        best = sorted((-round(w, 9), a) for (t, a), w in sums.items() if t == s and (s is None or (s, a) not in held))
+        best = sorted((-round(w, 9), a) for a, w in sums[s].items() if s is None or (s, a) not in own)
         want |= {(s, a, rank + 1) for rank, (_, a) in enumerate(best[:3])}
     assert {(r.sample_id, r.attribute, r["rank"]) for r in got.collect()} == want
     # samples are shuffled once by their id, sums and ranks are not
