@@ -92,8 +92,9 @@ def q_pair_graph_features(spark, sf_dir):
 @register("pair_break_numbers")
 def q_pair_break_numbers(spark, sf_dir):
     """C5/C6 with exact max-flow for the pairs whose bounds differ (no SQL twin)."""
-    s = baskets_pairs(spark, sf_dir)
-    f = C.graph_features(s["pairs"], s["edges"], exact_break_no=True)
+    # the features read pairs and edges many times: what they are made of is written once
+    s = baskets_pairs(spark, sf_dir, kept=("sample_attr", "coexist", "pairs"))
+    f = C.graph_features(s["pairs"], written(s["edges"], "edges"), exact_break_no=True)
     return f.select("name", "break_no_lower", "break_no_upper", "break_no", "break_no_exact", r6("attribute_sim"))
 
 

@@ -29,3 +29,10 @@ def test_forms_are_computed_per_attribute_and_not_per_pair(spark):
     got = {r.attribute2: r for r in diag.collect()}
     assert got["the cats"].s_discrepancy and got["the cats"].good_attribute == "the cat"
     assert got["thecat"].only_space_discrepancy and got["thecat"].good_attribute == "thecat" and got["thecat"].bad_words == ["thecat"]
+
+
+def test_break_numbers_read_pairs_and_edges_that_are_written(spark):
+    from attrmill.catalog_features import q_pair_break_numbers
+
+    plan = q_pair_break_numbers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
