@@ -16,7 +16,7 @@ from attrmill.operators import queue as Q
 from attrmill.operators import recommend as R
 from attrmill.operators import samples as S
 from attrmill.operators import stats as B
-from attrmill.session import table_path
+from attrmill.session import table_path, written
 from attrmill.sources import adapters as A
 from attrmill.sources import readers as RD
 from attrmill.sources import sinks
@@ -134,7 +134,8 @@ BATCHES = 3
 def _counts_over_batches(spark, sf_dir) -> str:
     """Orders whose part names arrive in three batches, a third of them twice, and one batch twice."""
     store = _new_path(spark, "counts")
-    rows = A.baskets(spark, sf_dir).withColumn("batch", F.pmod(F.xxhash64("sample_id", "attribute"), F.lit(BATCHES)))
+    # written once: every batch reads its rows, none makes the baskets again
+    rows = written(A.baskets(spark, sf_dir).withColumn("batch", F.pmod(F.xxhash64("sample_id", "attribute"), F.lit(BATCHES))), "batches")
     for k in range(BATCHES):
         batch = rows.where((F.col("batch") == k) | (F.col("batch") == k - 1) & (F.lit(k) == 1)).drop("batch")
         E.merge_counts_batch(batch, k, store)

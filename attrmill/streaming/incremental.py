@@ -59,8 +59,9 @@ def merge_counts_batch(batch: DataFrame, batch_id: int, store: str) -> None:
     done = log.last_batch()
     if done is not None and batch_id <= done:
         return  # already merged (replay)
-    rows = batch.where("sample_id IS NOT NULL AND attribute IS NOT NULL").groupBy("sample_id", "attribute").agg(F.min("value").alias("value"))
-    held = log.read("members").join(batch.select("sample_id").distinct(), "sample_id", "left_semi")
+    # the batch's source is read once, though its rows meet the state twice
+    rows = batch.where("sample_id IS NOT NULL AND attribute IS NOT NULL").groupBy("sample_id", "attribute").agg(F.min("value").alias("value")).persist()
+    held = log.read("members").join(rows.select("sample_id").distinct(), "sample_id", "left_semi")
     new = rows.join(held, ["sample_id", "attribute"], "left_anti").persist()
     try:
         log.write("members", new.select("sample_id", "attribute"), batch_id)
@@ -72,6 +73,7 @@ def merge_counts_batch(batch: DataFrame, batch_id: int, store: str) -> None:
         log.write("coexist", _summed(within.unionByName(across), "coexist"), batch_id)
     finally:
         new.unpersist()
+        rows.unpersist()
     log.commit(batch_id)
     if len(log.committed()) > FOLD_AFTER:
         compact_counts(log)

@@ -36,3 +36,22 @@ def test_break_numbers_read_pairs_and_edges_that_are_written(spark):
 
     plan = q_pair_break_numbers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan
+
+
+def test_a_batch_reads_its_source_once(spark, tmp_path):
+    from attrmill.streaming import incremental as E
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = [(f"s{i}", f"a{k}", str(k)) for i in range(6) for k in range(i % 3 + 1)]
+    source = spark.createDataFrame(rows, "sample_id string, attribute string, value string")
+    for batch_id in (0, 1):
+        E.merge_counts_batch(source.select(counted("sample_id").alias("sample_id"), "attribute", "value"), batch_id, str(tmp_path / "store"))
+        assert seen.value == len(rows) * (batch_id + 1)
+    counts = {(r.attribute1, r.attribute2): r.n for r in E.read_counts(spark, str(tmp_path / "store"), "coexist").collect()}
+    assert counts == {("a0", "a1"): 4, ("a0", "a2"): 2, ("a1", "a2"): 2}
