@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from attrmill.operators import values as V
+from plan_metrics import shuffled_rows
 
 # (value, type) by hand
 CASES = [
@@ -31,3 +34,37 @@ def test_day_and_month_in_either_order(spark, sep):
     values = [(f"13{sep}01{sep}2020",), (f"01{sep}13{sep}2020",), (f"13{sep}13{sep}2020",)]
     got = [r.t for r in spark.createDataFrame(values, "value string").select(V.value_type(F.col("value")).alias("t")).collect()]
     assert got == ["date", "date", "string"]
+
+
+def _exact(spark, lists, pairs):
+    values = spark.createDataFrame([(a, v, n) for a, vs in lists.items() for v, n in vs], "attribute string, value string, n long").localCheckpoint()
+    pairs = spark.createDataFrame(pairs, "name string, good_attribute string, bad_attribute string")
+    return V.exact_score(pairs, values, None)
+
+
+@pytest.mark.parametrize("all_pairs", [True, False])
+def test_exact_score_equals_sets(spark, all_pairs):
+    """Values held by few and by many attributes, repeated pairs, a pair of one attribute, an attribute without values, nulls."""
+    rnd = random.Random(4)
+    lists = {f"a{i}": [(f"v{j}", rnd.randint(1, 9)) for j in rnd.sample(range(60), rnd.choice([1, 5, 40]))] + [("all", i + 1), (None, 3)] for i in range(12)}
+    pairs = [(f"{x}-{y}", x, y) for x in lists for y in lists if x < y or x == y == "a3"] if all_pairs else [("p", "a1", "a0"), ("p", "a1", "a0"), ("q", "a0", "a2"), ("r", "a2", "none"), ("p", "a4", "a5")]
+    want = {}
+    for name, g, b in pairs:
+        x, y = dict(lists[g]), dict(lists.get(b, []))
+        for v in x.keys() & y.keys() - {None}:
+            n, f = want.get(name, (0, 0))
+            want[name] = (n + 1, f + x[v] + y[v])
+    assert {r.name: (r.n_shared, r.shared_freq) for r in _exact(spark, lists, pairs).collect()} == want
+
+
+def test_exact_score_shuffles_no_value_per_pair(spark):
+    """All pairs of 30 attributes: values meet their holders, and are not repeated for every partner."""
+    lists = {f"a{i}": [(f"{i}-{j}", 1) for j in range(100)] + [("x", 1)] for i in range(30)}
+    pairs = [(f"{x}-{y}", x, y) for x in lists for y in lists if x < y]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = shuffled_rows(_exact(spark, lists, pairs))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows < 10 * 30 * 101  # one row a value and partner would be 44,000 rows
