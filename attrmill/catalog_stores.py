@@ -53,7 +53,7 @@ ODD_NAME = "replace({}, ' ', concat('\", \"', chr(10)))"
 def q_incidence(spark, sf_dir):
     """Orders as ragged CSV records whose names hold quotes, commas and line breaks."""
     path = _new_path(spark, "incidence")
-    sinks.write_incidence(A.baskets(spark, sf_dir).withColumn("attribute", F.expr(ODD_NAME.format("attribute"))), path)
+    sinks.write_incidence(A.baskets(spark, sf_dir, gathered=True).withColumn("attribute", F.expr(ODD_NAME.format("attribute"))), path)
     return RD.incidence_long(RD.read_incidence(spark, path)).select("sample_id", "attribute")
 
 
