@@ -66,23 +66,60 @@ class Vocabulary:
             self.rank.setdefault(pair, r)
             if whole not in self.parts:
                 self.parts[whole], self.built[whole] = pair, r
+        self.spines: dict[tuple[int, bool], list[tuple[int, float]]] = {}
+        self._known: dict[int, bool] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = split["pattern"]["Regex"]
+        for i in self.parts:  # known before the tables are sent
+            self.whole(i)
+
+    def whole(self, i: int) -> bool:
+        """Whether BPE of the token's own text gives the token."""
+        if i not in self._known:
+            x, y = self.parts.get(i, (i, i))
+            self._known[i] = i not in self.parts or self.whole(x) and self.whole(y) and self.border(x, y, self.built[i])
+        return self._known[i]
+
+    def spine(self, i: int, right: bool) -> list[tuple[int, float]]:
+        """Tokens along the right (left) edge of a token's merge tree, the token first, each
+        with the rank of the merge that consumes it (infinite for the token itself)."""
+        out = self.spines.get((i, right))
+        if out is None:
+            out, at, gone = [], i, float("inf")
+            while True:
+                out.append((at, gone))
+                if at not in self.parts:
+                    break
+                gone = self.built[at]
+                at = self.parts[at][1 if right else 0]
+            self.spines[i, right] = out
+        return out
+
+    def border(self, left: int, right: int, limit: float) -> bool:
+        """No merge across the border comes before rank ``limit`` and before both of its
+        sides are consumed. At equal rank the merge further left comes first."""
+        for x, x_gone in self.spine(left, True):
+            for y, y_gone in self.spine(right, False):
+                r = self.rank.get((x, y))
+                if r is not None and r < limit and r < x_gone and r <= y_gone:
+                    return False
+        return True
 
 
 class Encoder:
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
-        self.bytes = byte_alphabet()
+        self.by_byte = dict(enumerate(byte_alphabet()))
         self.text_of = {i: t for t, i in v.ids.items()}
         self.text_of |= {i: t for t, i in v.special.items()}
         self.split = regex.compile(v.words)
         library = Tokenizer.from_str(v.frame)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.specials = regex.compile("(" + "|".join(map(regex.escape, v.special)) + ")") if v.special else None
-        self.spines: dict[tuple[int, bool], list[tuple[int, float]]] = {}
         self.fits = Memo(self._fits, 300_000)
+        #: of every token: its id as text, and its own text, each with a space before it
+        self.rows_of = {i: (f" {i}", " " + t) for i, t in self.text_of.items()}
         self.words = Memo(self._word_row, 400_000)
         self.chunks = Memo(self._chunk_row, 500_000)
         # the end mark is one symbol for the automaton
@@ -90,82 +127,60 @@ class Encoder:
         self.automaton = ahocorasick.Automaton()
         for t, i in v.ids.items():
             marked = v.mark and t.endswith(v.mark) and t != v.mark
-            if (i in v.parts or len(t) - (len(v.mark) if marked else 0) == 1) and self._whole(i):
+            if (i in v.parts or len(t) - (len(v.mark) if marked else 0) == 1) and v.whole(i):
                 word = t[: -len(v.mark)] + self.end if marked else t
-                self.automaton.add_word(word, (i, len(word) - marked))
+                self.automaton.add_word(word, (i, len(word)))
         self.automaton.make_automaton()
 
-    def _whole(self, i: int) -> bool:
-        """Whether BPE of the token's own text gives the token."""
-        if i not in self.v.parts:
-            return True
-        x, y = self.v.parts[i]
-        return self._whole(x) and self._whole(y) and self._border(x, y, self.v.built[i])
-
-    def _spine(self, i: int, right: bool) -> list[tuple[int, float]]:
-        """Tokens along the right (left) edge of a token's merge tree, the token first, each
-        with the rank of the merge that consumes it (infinite for the token itself)."""
-        out = self.spines.get((i, right))
-        if out is None:
-            out, at, gone = [], i, float("inf")
-            while True:
-                out.append((at, gone))
-                if at not in self.v.parts:
-                    break
-                gone = self.v.built[at]
-                at = self.v.parts[at][1 if right else 0]
-            self.spines[i, right] = out
-        return out
-
-    def _border(self, left: int, right: int, limit: float) -> bool:
-        """No merge across the border comes before rank ``limit`` and before both of its
-        sides are consumed. At equal rank the merge further left comes first."""
-        for x, x_gone in self._spine(left, True):
-            for y, y_gone in self._spine(right, False):
-                r = self.v.rank.get((x, y))
-                if r is not None and r < limit and r < x_gone and r <= y_gone:
-                    return False
-        return True
-
     def _fits(self, pair: tuple[int, int]) -> bool:
-        return self._border(*pair, float("inf"))
+        return self.v.border(*pair, float("inf"))
 
     def word(self, symbols: str) -> list[int]:
         """Ids of one word in the byte alphabet."""
+        if not symbols:
+            return []
         n = len(symbols)
-        marked = bool(self.v.mark)
-        # last[k]: the token that ends the encoding of the first k symbols, and where it starts
-        last: list[tuple[int, int] | None] = [None] * (n + 1)
-        for at, (token, size) in self.automaton.iter(symbols + self.end if marked else symbols):
-            ends = at + 1
-            if marked:
-                if ends == n:  # the last symbol has the end mark
-                    continue
-                ends = min(ends, n)
-            start = ends - size
-            if last[ends] is not None:
-                continue
-            if start == 0 or (last[start] is not None and self.fits[last[start][0], token]):
-                last[ends] = (token, start)
-        out = []
-        while n:
-            if last[n] is None:
+        # last[k], size_of[k]: the token that ends the encoding up to symbol k, and its length; what
+        # comes before symbol 0 is the last entry (index -1). The end mark is one more symbol, and no
+        # token ends between it and the symbol that has it
+        last: list[int | None] = [None] * n + [-1]
+        if self.v.mark:
+            last[-1:], n, symbols = [None, -1], n + 1, symbols + self.end
+            last[n - 2] = -2
+        size_of = [0] * n
+        fits = self.fits
+        for at, (token, size) in self.automaton.iter(symbols):
+            if last[at] is None:
+                before = last[at - size]
+                if before is not None and (before < 0 or fits[before, token]):
+                    last[at], size_of[at] = token, size
+        out, at = [], n - 1
+        while at >= 0:
+            if last[at] is None:
                 raise ValueError(f"the vocabulary cannot encode {symbols!r}")
-            token, n = last[n]
-            out.append(token)
+            out.append(last[at])
+            at -= size_of[at]
         return out[::-1]
 
-    def _word_row(self, word: str) -> list[int]:
-        return self.word("".join(self.bytes[b] for b in word.encode()))
+    def _row(self, ids: list[int]) -> tuple[str, str]:
+        if len(ids) == 1:
+            return self.rows_of[ids[0]]
+        names, tokens = zip(*map(self.rows_of.__getitem__, ids)) if ids else ((), ())
+        return "".join(names), "".join(tokens)
+
+    def _word_row(self, word: str) -> tuple[str, str]:
+        return self._row(self.word(word.encode().decode("latin-1").translate(self.by_byte)))
 
     def _chunk_row(self, chunk: str) -> tuple[str, str]:
         """Of a stretch between spaces: its ids, and its tokens, each with a space before it."""
         if chunk.isascii() or not BEYOND.search(chunk):  # in normal form already
-            ids = [i for w in self.split.findall(chunk.lower()) for i in self.words[w]]
-        else:
-            spans = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(chunk))
-            ids = [i for symbols, _ in spans for i in self.word(symbols)]
-        return "".join([f" {i}" for i in ids]), "".join([" " + self.text_of[i] for i in ids])
+            words = self.split.findall(chunk.lower())
+            if len(words) == 1:
+                return self.words[words[0]]
+            names, tokens = zip(*map(self.words.__getitem__, words)) if words else ((), ())
+            return "".join(names), "".join(tokens)
+        spans = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(chunk))
+        return self._row([i for symbols, _ in spans for i in self.word(symbols)])
 
     def rows(self, text: str) -> list[tuple[str, str]]:
         """Rows as of _chunk_row for the stretches of a text, in order."""
@@ -175,7 +190,7 @@ class Encoder:
                 out.append((f" {self.v.special[piece]}", " " + piece))
             else:
                 piece = piece if BEYOND.search(piece) else piece.lower()
-                out += map(self.chunks.__getitem__, piece.split(" "))
+                out += map(self.chunks.__getitem__, piece.replace("\n", " ").split(" "))
         return out
 
     def digest(self, text: str) -> tuple[str, str]:
