@@ -24,6 +24,7 @@ stored and is refused. Other columns are not read.
 from __future__ import annotations
 
 import functools
+import gc
 import io
 import re
 import string
@@ -38,44 +39,78 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrmill.llm.bpe import byte_alphabet
-from attrmill.llm.common import Memo, Workspace, arrow_stage
+from attrmill.llm.common import BATCH_ROWS, Memo, Workspace, arrow_stage
 from attrmill.llm.files import open_read, write_file
 
 MAGIC, VERSION = b"FRVB", 1
 #: Text bytes that go into one file, about.
 FILE_BYTES = 32_000_000
+#: Ids that are packed or unpacked at once; a longer document alone.
+RUN_IDS = 1_000_000
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)  # by control byte
 _MASK = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
+def runs(counts: np.ndarray) -> list[tuple[int, int]]:
+    """Neighbouring documents (from, to) that hold at most RUN_IDS ids together, or one document."""
+    out, start, held = [], 0, 0
+    for i, n in enumerate(counts.tolist()):
+        if i > start and held + n > RUN_IDS:
+            out.append((start, i))
+            start, held = i, 0
+        held += n
+    return out + [(start, len(counts))] if len(counts) else out
+
+
+def pack_all(ranks: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Of each run of ``counts`` numbers, in order: its block, control bytes, then data bytes."""
+    n, wide = len(ranks), int(ranks.max(initial=0)).bit_length() + 7 >> 3 or 1  # bytes of the largest
+    size = np.ones(n, np.uint8)
+    for k in range(1, wide):
+        size += ranks >= 1 << 8 * k
+    groups = -(-counts // 4)
+    ends, control_ends = np.cumsum(counts), np.cumsum(groups)
+    code = np.zeros(int(groups.sum()) * 4, np.uint8)  # a run begins with a new control byte
+    code[np.arange(n) + np.repeat(4 * (control_ends - groups) - (ends - counts), counts)] = size - 1
+    code = code.reshape(-1, 4)
+    control = (code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6).tobytes()
+    keep = np.arange(wide, dtype=np.uint8) < size[:, None]
+    data = ranks.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)[:, :wide][keep].tobytes()
+    data_ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[ends].tolist() if len(counts) else []
+    out, c, d = [], 0, 0
+    for c_end, d_end in zip(control_ends.tolist(), data_ends):
+        out.append(control[c:c_end] + data[d:d_end])
+        c, d = c_end, d_end
+    return out
+
+
 def pack(ranks: np.ndarray) -> bytes:
     """Control bytes, then data bytes, of unsigned 32-bit numbers."""
-    n = len(ranks)
-    full = np.zeros(-(-n // 4) * 4, "<u4")
-    full[:n] = ranks
-    wide = int(full.max(initial=0)).bit_length() + 7 >> 3 or 1  # bytes of the largest
-    size = np.ones(len(full), np.uint8)
-    for k in range(1, wide):
-        size += full >= 1 << 8 * k
-    code = (size - 1).reshape(-1, 4)
-    control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    keep = np.arange(wide, dtype=np.uint8) < size[:n, None]
-    return control.tobytes() + full[:n].view(np.uint8).reshape(-1, 4)[:, :wide][keep].tobytes()
+    return pack_all(np.ascontiguousarray(ranks, "<u4"), np.array([len(ranks)]))[0]
 
 
-def unpack(block: bytes, n: int) -> np.ndarray:
-    """The numbers of ``pack``: lengths by table lookup on control bytes, then gathers."""
-    groups = -(-n // 4)
-    control = np.frombuffer(block, np.uint8, groups)
-    data = np.frombuffer(block + b"\0" * 4, np.uint8, offset=groups)
-    size = _LENGTHS[control].ravel()[:n]
+def unpack_all(raw: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of the blocks at ``places`` of ``raw`` (bytes, four more at the end), one run after
+    another: lengths by table lookup on control bytes, then gathers."""
+    groups = -(-counts // 4)
+    control_at = np.arange(int(groups.sum())) + np.repeat(places - (np.cumsum(groups) - groups), groups)
+    held = np.arange(4, dtype=np.uint8) < np.minimum(np.repeat(counts, groups) - 4 * (control_at - np.repeat(places, groups)), 4)[:, None]
+    size = _LENGTHS[raw[control_at]][held]
     at = np.cumsum(size, dtype=np.int64) - size
-    word = data[at].astype(np.uint32)
+    first = np.cumsum(counts) - counts
+    some = counts > 0
+    at += np.repeat((places + groups)[some] - at[first[some]], counts[some])
+    word = raw[at].astype(np.uint32)
     for k in range(1, int(size.max(initial=1))):
-        word |= data[at + k].astype(np.uint32) << np.uint32(8 * k)
+        word |= raw[at + k].astype(np.uint32) << np.uint32(8 * k)
     return word & _MASK[size]
 
 
+def unpack(block: bytes, n: int) -> np.ndarray:
+    """The numbers of ``pack``."""
+    return unpack_all(np.frombuffer(block + b"\0" * 4, np.uint8), np.zeros(1, np.int64), np.array([n]))
+
+
 #: The splitter of byte-level BPE. A fixed value.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters whose class may differ between Unicode versions or libraries: such stretches go to the library as they are.
@@ -153,8 +188,11 @@ class ChunkEncoder:
 
 @functools.lru_cache(maxsize=1)
 def _encoder(spec: str) -> ChunkEncoder:
-    """One encoder for each Python worker: what it has met serves its later tasks too."""
-    return ChunkEncoder(spec)
+    """One encoder for each Python worker: what it has met serves its later tasks too. Its memos are
+    kept out of the collections at the end of every task, which would visit all their entries."""
+    encoder = ChunkEncoder(spec)
+    gc.freeze()
+    return encoder
 
 
 def _encode(batches, spec, end_id):
@@ -184,23 +222,24 @@ def _write(batches, folder, ranks, kind):
     def close():
         first = heads[0][0]
         size = 16 + 32 * len(heads)
-        raw = MAGIC + struct.pack("<IQ", VERSION, len(heads))
-        start = 0
+        index, start = [], 0
         for doc, n, at in heads:
-            raw += struct.pack("<qQQQ", doc, start, n, size + at)
+            index.append(struct.pack("<qQQQ", doc, start, n, size + at))
             start += n
+        raw = MAGIC + struct.pack("<IQ", VERSION, len(heads)) + b"".join(index)
         path = write_file(folder, f"{name:08d}", "frvb", [raw, blocks.getvalue()])
         return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([path], pa.string()), pa.array([first], pa.int64()), pa.array([start], pa.int64())], ["part", "path", "first", "tokens"])
 
     for b in batches:
-        for part, doc, raw in zip(*(b.column(i).to_pylist() for i in range(3))):
+        raws = b.column(2).to_pylist()
+        counts = np.fromiter(map(len, raws), np.int64, len(raws)) // np.dtype(kind).itemsize
+        packed = (x for s, e in runs(counts) for x in pack_all(table[np.frombuffer(b"".join(raws[s:e]), kind)], counts[s:e]))
+        for part, doc, n, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), counts.tolist(), packed):
             if name is not None and part != name:
                 yield close()
                 heads, blocks, place = [], io.BytesIO(), 0
             name = part
-            ids = np.frombuffer(raw, kind)
-            block = pack(table[ids])
-            heads.append((doc, len(ids), place))
+            heads.append((doc, n, place))
             blocks.write(block)
             place += len(block)
     if heads:
@@ -219,15 +258,16 @@ def _read(batches, ranks_path):
                 raise ValueError(f"{path} is no token file")
             n = struct.unpack_from("<Q", raw, 8)[0]
             index = np.frombuffer(raw, "<u8", 4 * n, 16).reshape(-1, 4)
-            ends = np.append(index[1:, 3], len(raw))
-            crc = [
-                zlib.crc32(ids_of[unpack(raw[int(at) : int(end)], int(k))])
-                for (_, _, k, at), end in zip(index, ends)
-            ]
-            for i in range(0, n, 10_000):
-                part = index[i : i + 10_000]
+            held = np.frombuffer(raw + b"\0" * 4, np.uint8)
+            for i in range(0, n, BATCH_ROWS):
+                part = index[i : i + BATCH_ROWS].astype(np.int64)
+                crc = []
+                for s, e in runs(part[:, 2]):
+                    ids = ids_of[unpack_all(held, part[s:e, 3], part[s:e, 2])]
+                    ends = np.cumsum(part[s:e, 2])
+                    crc += [zlib.crc32(ids[x:y]) for x, y in zip((ends - part[s:e, 2]).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[:, 0].astype(np.int64)), pa.array(part[:, 1].astype(np.int64) + before), pa.array(part[:, 2].astype(np.int64)), pa.array(crc[i : i + 10_000], pa.int64())],
+                    [pa.array(part[:, 0]), pa.array(part[:, 1] + before), pa.array(part[:, 2]), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
