@@ -68,3 +68,21 @@ def test_exact_score_shuffles_no_value_per_pair(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert rows < 10 * 30 * 101  # one row a value and partner would be 44,000 rows
+
+
+def test_value_features_hold_the_fuzzy_score(spark):
+    """The registered query runs every step of V14, with its SQL twin: a fuzzy score where neither numbers nor dates match."""
+    from attrmill import catalog
+
+    found = catalog.queries()["value_features"](spark, "/root/testdata/sf0.001").collect()
+    assert "AS jaro_score" in catalog.oracle_sql()["value_features"]
+    assert any(r.jaro_score for r in found)
+    assert all((r.jaro_score is None) == (r.type_match in ("numeric match", "date match")) for r in found)
+
+
+def test_a_value_is_searched_once_for_all_pairs_with_a_list(spark):
+    lists = {"a": ["cat", "dog"], "b": ["cat", "dog", "cow"], "long": ["cart", "cows", "dig", "fog"]}
+    values = spark.createDataFrame([(k, v, 1) for k, vs in lists.items() for v in [*vs, None]], "attribute string, value string, n long")
+    pairs = spark.createDataFrame([("a-long", "a", "long"), ("b-long", "b", "long"), ("b-long", "b", "long")], "name string, good_attribute string, bad_attribute string")
+    got = {(r.name, r.value): r.match for r in V.best_value_matches(pairs, values).collect()}
+    assert got == {(f"{k}-long", v): m for k in "ab" for v, m in (("cat", "cart"), ("dog", "dig"), ("cow", "cows")) if v in lists[k]}
