@@ -102,11 +102,12 @@ def q_pair_break_numbers(spark, sf_dir):
 def q_word_graph_break_numbers(spark, sf_dir):
     """C5/C6 on the sparse graph of words that share a benchmark item, where most bounds differ and the flow runs
     (no SQL twin; tested against brute force)."""
-    sa = A.item_words(spark, sf_dir)
+    # the features read pairs and edges many times: what they are made of is written once
+    sa = written(A.item_words(spark, sf_dir), "words")
     attributes = B.attribute_frequency(sa)
     weights = B.cooccurrence_weights(B.cooccurrence(sa), attributes, B.sample_total(sa))
     pairs = L.polarity(S.candidate_pairs(attributes).select("attribute1", "attribute2", "levenshtein", "name"), attributes)
-    f = C.graph_features(pairs, B.symmetric_edges(weights))
+    f = C.graph_features(written(pairs, "pairs"), written(B.symmetric_edges(weights), "edges"))
     return f.select("name", "degree_bad", "degree_good", "break_no_lower", "break_no_upper", "break_no", r6("attribute_sim"))
 
 

@@ -14,13 +14,16 @@ Plan:
     flow meets the upper bound or a phase finds no path: its flow is largest.
 
 Every round is one equi-join on the node and one anti-join on (pair, node, side); its result is
-checkpointed in the shared folder. No graph is collected or broadcast, no size switches it off.
+checkpointed in the shared folder. No graph is collected or broadcast on the driver, no size switches it off.
+A graph of at most GRAPH_ARCS arcs is dealt to tasks that share out the pairs, and each task searches the same
+residual states on its copy, path by path (`task_paths`); both give the largest number.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,12 +78,114 @@ def _whole_paths(states: DataFrame) -> DataFrame:
     return states.where("arrived").withColumn("path", full).groupBy("name", "root").agg(F.min("path").alias("path"))
 
 
-def disjoint_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+#: Arcs of a graph that one task holds; on larger graphs the paths grow as joins.
+GRAPH_ARCS = 2_000_000
+
+
+def task_paths(near: dict, s, t, most: int) -> int:
+    """The same number for one pair on a graph in memory: ``near`` has the set of neighbours of each node.
+
+    The roots are taken one after another. A root without a path leaves states that never reach the end, as later
+    paths cannot pass through them: they stay out. The other states are free again for the next root."""
+    ends, starts = near.get(t, set()), near.get(s, set())
+    common = starts & ends
+    free = near.keys() - common - {s, t}  # off all paths, not seen
+    behind: set = set()  # on a path, not seen on the side ``in``
+    out: set = set()  # on a path, not seen on the side ``out``
+    after, before, paths = {}, {}, 0
+    for root in starts - common - {t}:
+        if paths >= most:
+            break
+        if before.get(root) == s or not (root in free or root in behind):
+            continue
+        first = (root, root not in free)
+        (behind if first[1] else free).discard(root)
+        came, queue, last = {first: None}, deque([first]), None
+        while queue:
+            at = node, inside = queue.popleft()
+            if inside:
+                step = before[node]
+                if step in out:
+                    out.discard(step)
+                    came[step, False] = at
+                    queue.append((step, False))
+                continue
+            if node in ends and after.get(node) != t:
+                last = at
+                break
+            here = near[node]
+            if node in behind:
+                behind.discard(node)
+                came[node, True] = at
+                queue.append((node, True))
+            hit = next(iter(here & ends & free), None)  # one step before the end
+            if hit is not None:
+                free.discard(hit)
+                came[hit, False] = at
+                last = (hit, False)
+                break
+            for step in here & free:
+                free.discard(step)
+                came[step, False] = at
+                queue.append((step, False))
+            for step in here & behind:
+                if after.get(node) != step:
+                    behind.discard(step)
+                    came[step, True] = at
+                    queue.append((step, True))
+        if last is None:
+            continue
+        paths += 1
+        seen, steps, at = came.keys(), [], last
+        while at is not None:
+            steps.append(at)
+            at = came[at]
+        steps.reverse()
+        drop, add = [], []
+        for (u, inside), (v, entered) in zip([(s, False), *steps], [*steps, (t, False)]):
+            if inside and u != v:  # back along the path of u
+                drop.append((v, u))
+            elif u != v:
+                add.append((u, v))
+        for u, v in drop:
+            after.pop(u, None)
+            before.pop(v, None)
+        for u, v in add:
+            if u != s:
+                after[u] = v
+            if v != t:
+                before[v] = u
+        for node in {x for x, _ in seen} | {x for arc in drop for x in arc} - {s, t}:
+            (free if node not in after else behind).add(node)
+            (behind if node not in after else free).discard(node)
+            (out.add if node in after else out.discard)(node)
+    return paths
+
+
+def _in_tasks(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, paths) with the graph in every task."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    graph = edges.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int"))
+
+    def solve(some: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for u, v in zip(graph["src"], graph["dst"]) if len(some) else ():
+            near.setdefault(u, set()).add(v)
+        found = [task_paths(near, s, t, int(most)) for s, t, most in zip(some["s"], some["t"], some["most"])]
+        return pd.DataFrame({"name": some["name"], "paths": pd.Series(found, dtype="int32", index=some.index)})
+
+    return dealt.groupBy("part").cogroup(graph.groupBy("part")).applyInPandas(solve, "name string, paths int")
+
+
+def disjoint_paths(pairs: DataFrame, edges: DataFrame, graph_arcs: int | None = None) -> DataFrame:
     """(name, paths): the largest number of node-disjoint paths from ``s`` to ``t`` of each row of
     pairs (name, s, t, most) that use neither the direct edge nor common neighbours; ``most`` is
-    an upper bound of it. ``edges`` is symmetric: (src, dst)."""
+    an upper bound of it. ``edges`` is symmetric: (src, dst). A graph of more than ``graph_arcs`` stays in tables."""
     edges = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
     pairs = cut_lineage(pairs.select("name", "s", "t", "most"))
+    if edges.count() <= (GRAPH_ARCS if graph_arcs is None else graph_arcs):
+        return cut_lineage(_in_tasks(pairs, edges))
     near_s = pairs.join(edges.withColumnRenamed("src", "s"), "s").select("name", "s", "t", F.col("dst").alias("node"))
     near_t = pairs.join(edges.withColumnRenamed("src", "t"), "t").select("name", F.col("dst").alias("node"))
     common = near_s.join(near_t, ["name", "node"], "left_semi").select("name", "node")

@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from attrmill.operators import coexist as C
+from attrmill.plans import connectivity
 from attrmill.plans.connectivity import brute_force_connectivity
 
 
@@ -66,3 +67,41 @@ def test_pairs_outside_the_graph_have_no_row(spark):
     assert [(r.name, r.break_no) for r in got] == [("ab", 1)]
     assert C.graph_features(p.limit(0), e).count() == 0
     assert C.graph_features(p, e.limit(0)).select(F.max("break_no")).first()[0] is None
+
+
+def _flow_rows(graphs):
+    edges = [(f"{k}:{a}", f"{k}:{b}") for k, adj in enumerate(graphs) for a in adj for b in adj[a]]
+    return edges, [(str(k), f"{k}:0", f"{k}:1", 99) for k in range(len(graphs))]
+
+
+def test_paths_in_tasks_and_in_tables_equal_brute_force(spark):
+    rnd = random.Random(6)
+    graphs = [_random_graph(rnd, rnd.randint(4, 10), rnd.choice([0.2, 0.3, 0.5])) for _ in range(60)]
+    edges, pairs = _flow_rows(graphs)
+    e, p = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(pairs, "name string, s string, t string, most int")
+    want = {str(k): brute_force_connectivity(g, 0, 1) - len(g[0] & g[1]) - (1 in g[0]) for k, g in enumerate(graphs)}
+    for arcs in (None, 0):
+        assert {r.name: r.paths for r in connectivity.disjoint_paths(p, e, arcs).collect()} == want
+
+
+def test_task_paths_equal_brute_force_on_many_graphs():
+    rnd = random.Random(7)
+    for _ in range(1500):
+        adj = _random_graph(rnd, rnd.randint(3, 10), rnd.choice([rnd.random(), 0.25]))
+        want = brute_force_connectivity(adj, 0, 1) - len(adj[0] & adj[1]) - (1 in adj[0])
+        assert connectivity.task_paths({k: v for k, v in adj.items() if v}, 0, 1, 99) == want, adj
+        assert connectivity.task_paths(adj, 0, 1, max(want - 1, 0)) == max(want - 1, 0)
+
+
+def test_a_small_graph_takes_no_rounds_of_jobs(spark):
+    """50 pairs whose paths are found by one job: rounds in tables would cut the lineage once and more a step."""
+    graphs = [{0: {2, 3}, 1: {4, 5}, 2: {0, 4, 6}, 3: {0, 5}, 4: {2, 1}, 5: {3, 1}, 6: {2}} for _ in range(50)]
+    edges, pairs = _flow_rows(graphs)
+    e, p = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(pairs, "name string, s string, t string, most int")
+    cuts = []
+    before, connectivity.cut_lineage = connectivity.cut_lineage, lambda df: (cuts.append(1), before(df))[1]
+    try:
+        assert {r.paths for r in connectivity.disjoint_paths(p, e).collect()} == {2}
+    finally:
+        connectivity.cut_lineage = before
+    assert len(cuts) <= 3
