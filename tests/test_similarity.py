@@ -4,7 +4,7 @@ import random
 import duckdb
 import pytest
 
-from attrmill.functions.text import lcs_length
+from attrmill.functions.text import lcs_length, lcs_lengths
 from attrmill.plans import similarity_join as S
 
 
@@ -99,3 +99,32 @@ def test_exempt_term_is_taken_literally(spark):
     )
     got = {(r.attribute1, r.levenshtein) for r in S.shared_term_exemption(pairs, term="v.x").collect()}
     assert got == {("v.x visit", 92), ("vax one", 81)}
+
+
+def test_deletion_hashes_stand_for_the_variants():
+    """Equal hashes where, and but for collisions only where, variants are equal; each once, with its length."""
+    words = ["a", "ab", "ba", "aab", "banana", "ananas", "frozen", "frozne", "ä\x00ä", "abcabcabcabc", "bcabcabcabca", "x" * 12]
+    ks = {n: S.deletion_counts(n, longest=12) for n in range(1, 13)}
+    found = dict(zip(words, S.deletion_hashes(words, ks)))
+    for w in words:
+        assert len(found[w]) == len(set(found[w].tolist())) == len(S.deletion_variants(w, ks[len(w)]))
+        assert sorted(int(h) & 63 for h in found[w]) == sorted(len(v) for v in S.deletion_variants(w, ks[len(w)]))
+    for v, w in itertools.combinations(words, 2):
+        same = set(S.deletion_variants(v, ks[len(v)])) & set(S.deletion_variants(w, ks[len(w)]))
+        assert len(set(found[v].tolist()) & set(found[w].tolist())) == len(same)
+
+
+def test_lcs_of_rows_equals_single_pairs():
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abä") for _ in range(n))
+    a = [word(rnd.choice([0, 1, 7, 63, 64])) for _ in range(2000)] + [None, "a", None]
+    b = [word(rnd.choice([0, 1, 6, 70])) for _ in range(2000)] + ["a", None, None]
+    assert lcs_lengths(a, b) == [None if x is None or y is None else lcs_length(x, y) for x, y in zip(a, b)]
+
+
+def test_variants_are_not_shuffled_as_text(spark):
+    """Short words join on one number a variant; the old plan dealt out the text of each variant in Python lists."""
+    words = S._words(spark.createDataFrame([("word",), ("words",)], "attribute string"), "attribute")
+    pairs = S._variant_pairs(words, S.score_cutoff(80), S.SHORT)
+    assert "array<string>" not in pairs._jdf.queryExecution().analyzed().treeString()
+    assert [(r.x, r.y) for r in pairs.collect()] == [("word", "words")]
